@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomset.llm import canonical_list, lookalike
+from loomset.llm import canonical_list, formatting_copies, lookalike
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -16,11 +16,16 @@ def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     return canonical_list.canonical_entries(rows, _table(spark, folder, "grade_labels"), "row_id", ["grade_level", "display_grade"])
 
 
+def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    rows = _table(spark, folder, "extracted_rows").select("row_id", "source_document", "description")
+    return formatting_copies.formatting_copies(rows, "row_id", "description", ["source_document"]).select("first_row_id", "row_id")
+
+
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
     rows = lookalike.inconsistent_records(_table(spark, folder, "extracted_rows"), "description", "description", "row_id")
     pages = lookalike.inconsistent_records(_table(spark, folder, "parsed_documents"), "markdown", "markdown", "document_id")
     return rows.unionByName(pages)
 
 
-QUERIES = {"p2_found": p2_found, "p6_found": p6_found}
+QUERIES = {"p2_found": p2_found, "p5_found": p5_found, "p6_found": p6_found}
 ORACLES: dict[str, str] = {}
