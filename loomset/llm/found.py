@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from loomset.llm import canonical_list, formatting_copies, lookalike
+from loomset.llm import canonical_list, formatting_copies, leakage, lookalike, packing, residue
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -27,5 +28,25 @@ def p6_found(spark: SparkSession, folder: str) -> DataFrame:
     return rows.unionByName(pages)
 
 
-QUERIES = {"p2_found": p2_found, "p5_found": p5_found, "p6_found": p6_found}
+def p7_pack(spark: SparkSession, folder: str) -> DataFrame:
+    """(doc_id, part, size, bin) for all documents in containers of 2,048 tokens."""
+    sizes = packing.token_sizes(_table(spark, folder, "documents"), "doc_id", "text")
+    return packing.pack(sizes, "doc_id")
+
+
+def p8_found(spark: SparkSession, folder: str) -> DataFrame:
+    return leakage.leaks(_table(spark, folder, "documents"), _table(spark, folder, "eval_items")).select("doc_id", "item_id")
+
+
+def p8_containment(spark: SparkSession, folder: str) -> DataFrame:
+    """Leaks of each item: documents, and the largest share of its shingles found in one."""
+    pairs = leakage.leaks(_table(spark, folder, "documents"), _table(spark, folder, "eval_items"))
+    return pairs.groupBy("item_id").agg(F.count("*").alias("documents"), F.round(F.max("containment"), 6).alias("most"))
+
+
+def p9_found(spark: SparkSession, folder: str) -> DataFrame:
+    return residue.residue(_table(spark, folder, "documents")).select("doc_id")
+
+
+QUERIES = {"p2_found": p2_found, "p5_found": p5_found, "p6_found": p6_found, "p7_pack": p7_pack, "p8_found": p8_found, "p8_containment": p8_containment, "p9_found": p9_found}
 ORACLES: dict[str, str] = {}
