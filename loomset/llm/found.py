@@ -5,13 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomset.llm import canonical_list, formatting_copies, leakage, lookalike, packing, residue
+from loomset.llm import canonical_list, formatting_copies, leakage, lookalike, packing, residue, scanned_pages
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def p1_found(spark: SparkSession, folder: str) -> DataFrame:
+    return scanned_pages.page_noise(_table(spark, folder, "parsed_documents"))
+
+
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     rows = _table(spark, folder, "extracted_rows").select("row_id", "grade_level", "display_grade")
     return canonical_list.canonical_entries(rows, _table(spark, folder, "grade_labels"), "row_id", ["grade_level", "display_grade"])
@@ -48,5 +52,5 @@ def p9_found(spark: SparkSession, folder: str) -> DataFrame:
     return residue.residue(_table(spark, folder, "documents")).select("doc_id")
 
 
-QUERIES = {"p2_found": p2_found, "p5_found": p5_found, "p6_found": p6_found, "p7_pack": p7_pack, "p8_found": p8_found, "p8_containment": p8_containment, "p9_found": p9_found}
+QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p5_found": p5_found, "p6_found": p6_found, "p7_pack": p7_pack, "p8_found": p8_found, "p8_containment": p8_containment, "p9_found": p9_found}
 ORACLES: dict[str, str] = {}
