@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomset.llm import canonical_list, formatting_copies, leakage, lookalike, packing, residue, scanned_pages
+from loomset.llm import canonical_list, formatting_copies, leakage, lookalike, packing, page_boilerplate, residue, scanned_pages
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -21,6 +21,10 @@ def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     return canonical_list.canonical_entries(rows, _table(spark, folder, "grade_labels"), "row_id", ["grade_level", "display_grade"])
 
 
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    return page_boilerplate.boilerplate_lines(_table(spark, folder, "parsed_documents"))
+
+
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     rows = _table(spark, folder, "extracted_rows").select("row_id", "source_document", "description")
     return formatting_copies.formatting_copies(rows, "row_id", "description", ["source_document"]).select("first_row_id", "row_id")
@@ -52,5 +56,5 @@ def p9_found(spark: SparkSession, folder: str) -> DataFrame:
     return residue.residue(_table(spark, folder, "documents")).select("doc_id")
 
 
-QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p5_found": p5_found, "p6_found": p6_found, "p7_pack": p7_pack, "p8_found": p8_found, "p8_containment": p8_containment, "p9_found": p9_found}
+QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p4_found": p4_found, "p5_found": p5_found, "p6_found": p6_found, "p7_pack": p7_pack, "p8_found": p8_found, "p8_containment": p8_containment, "p9_found": p9_found}
 ORACLES: dict[str, str] = {}
