@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomset.plans import packed
+from loomset.plans import auditing, coding, documents, packed, quality
 
-MODULES = (packed,)
+MODULES = (packed, quality, coding, documents, auditing)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -20,4 +20,5 @@ def oracles() -> dict[str, str]:
 
 
 def flagship(spark: SparkSession, folder: str) -> DataFrame:
-    return packed.p3_found(spark, folder)
+    """Extracted rows, guarded and marked for review, each record once: the whole quality gate in one plan."""
+    return quality.row_guards(spark, folder)
