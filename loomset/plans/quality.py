@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from loomset.functions.text import SPACE, filled, sql_list, sql_strip
 from loomset.operators import row_quality as rq
+from loomset.operators.fix_loop import fix_loop as run_fix_loop
 from loomset.sources.tables import table
 
 FIELDS = ["grade_level", "grade_number", "domain", "topic", "description"]
@@ -61,6 +62,18 @@ def text_flags(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+LOOP = ["row_id", "source", "grade_level", "display_grade", "grade_number", "domain", "topic", "description"]
+
+
+def fix_loop(spark: SparkSession, folder: str) -> DataFrame:
+    """Two passes over the rows: programmatic fixes, then the guards for what still fails."""
+    rows = _rows(spark, folder).select(*LOOP)
+    first = lambda df: rq.programmatic_fixes(df, [c for c in LOOP if c != "row_id"]).select(*LOOP)
+    second = lambda df: rq.guarded(df).select(*LOOP)
+    check = lambda df: rq.preflight(df, ["source", "domain", "description"], ["domain", "topic", "description"], citation=None)
+    return run_fix_loop(rows, [first, second], check).select("row_id", "domain", "grade_level", "review_status", "review_issues", "passes")
+
+
 def _sql_range(x: str, dashes: str) -> str:
     p = rf"^\s*(\d{{1,2}})\s*[{dashes}]\s*(\d{{1,2}})\s*$"
     low, high = (f"try_cast(nullif(regexp_extract({x}, '{p}', {i}), '') AS INT)" for i in (1, 2))
@@ -137,7 +150,7 @@ def _sql_preflight() -> str:
 
 
 _DOMAIN, _TOPIC = _sql_heading("domain"), _sql_heading("topic")
-QUERIES = {f.__name__: f for f in (grade_cells, grade_level_map, heading_prefixes, topic_segments, row_guards, programmatic_fixes, preflight_issues, text_flags)}
+QUERIES = {f.__name__: f for f in (grade_cells, grade_level_map, heading_prefixes, topic_segments, row_guards, programmatic_fixes, preflight_issues, text_flags, fix_loop)}
 ORACLES = {
     "grade_cells": f"SELECT row_id, {_sql_cell('display_grade', False)} AS display_grade, {_sql_cell('grade_number', True)} AS grade_number, {_sql_list_of('grade_number')} AS grade_list FROM extracted_rows",
     "grade_level_map": f"SELECT coalesce({_sql_level('grade_level')}, '') AS level, count(*) AS n_rows, count(DISTINCT grade_level) AS n_names FROM extracted_rows GROUP BY 1",

@@ -27,7 +27,7 @@ def watch(spark: SparkSession, inbox: str, state: str, checkpoint: str, process:
     A file is known by the hash of its content, so one rewritten under its old
     name is due again and one touched without a change is not.
     """
-    files = spark.readStream.format("binaryFile").option("cleanSource", "off").option("maxFilesPerTrigger", 1000).load(inbox)
+    files = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("cleanSource", "off").option("maxFilesPerTrigger", 1000).load(inbox)
 
     def batch(df: DataFrame, _: int) -> None:
         seen = df.select("path", "content", F.sha2("content", 256).alias("fingerprint"))
