@@ -16,6 +16,10 @@ def p1_found(spark: SparkSession, folder: str) -> DataFrame:
     return scanned_pages.page_noise(_table(spark, folder, "parsed_documents"))
 
 
+def p1_repaired(spark: SparkSession, folder: str) -> DataFrame:
+    return scanned_pages.repaired_texts(_table(spark, folder, "parsed_documents"))
+
+
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     rows = _table(spark, folder, "extracted_rows").select("row_id", "grade_level", "display_grade")
     return canonical_list.canonical_entries(rows, _table(spark, folder, "grade_labels"), "row_id", ["grade_level", "display_grade"])
@@ -25,6 +29,10 @@ def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     return page_boilerplate.boilerplate_lines(_table(spark, folder, "parsed_documents"))
 
 
+def p4_bodies(spark: SparkSession, folder: str) -> DataFrame:
+    return page_boilerplate.main_bodies(_table(spark, folder, "parsed_documents"))
+
+
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     rows = _table(spark, folder, "extracted_rows").select("row_id", "source_document", "description")
     return formatting_copies.formatting_copies(rows, "row_id", "description", ["source_document"]).select("first_row_id", "row_id")
@@ -56,5 +64,5 @@ def p9_found(spark: SparkSession, folder: str) -> DataFrame:
     return residue.residue(_table(spark, folder, "documents")).select("doc_id")
 
 
-QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p4_found": p4_found, "p5_found": p5_found, "p6_found": p6_found, "p7_pack": p7_pack, "p8_found": p8_found, "p8_containment": p8_containment, "p9_found": p9_found}
+QUERIES = {"p1_found": p1_found, "p1_repaired": p1_repaired, "p2_found": p2_found, "p4_found": p4_found, "p4_bodies": p4_bodies, "p5_found": p5_found, "p6_found": p6_found, "p7_pack": p7_pack, "p8_found": p8_found, "p8_containment": p8_containment, "p9_found": p9_found}
 ORACLES: dict[str, str] = {}

@@ -137,10 +137,11 @@ def anagram_value(word: Column) -> Column:
 
 def corrections(vocabulary: DataFrame) -> DataFrame:
     """(word, repaired) of misread words; ``vocabulary`` has word, clean and scans (counts)."""
-    totals = F.broadcast(vocabulary.agg(F.sum("clean").alias("all_clean"), F.sum("scans").alias("all_scans")))  # one row
-    words = vocabulary.where((F.length("word") >= WORD_LENGTH) & F.col("word").rlike(r"\p{L}")).join(totals)
+    totals = vocabulary.agg(F.sum("clean").alias("clean"), F.sum("scans").alias("scans")).first()
+    all_clean, all_scans = F.lit(totals.clean or 0), F.lit(totals.scans or 0)
+    words = vocabulary.where((F.length("word") >= WORD_LENGTH) & F.col("word").rlike(r"\p{L}"))
     words = words.withColumn("total", F.col("clean") + F.col("scans")).withColumn("value", anagram_value(F.col("word")))
-    suspect = (F.col("scans") > 0) & (F.col("clean") * F.greatest("all_scans", F.lit(1)) <= CLEAN_SHARE * F.col("scans") * F.col("all_clean"))
+    suspect = (F.col("scans") > 0) & (F.col("clean") * F.greatest(all_scans, F.lit(1)) <= CLEAN_SHARE * F.col("scans") * all_clean)
     pairs = F.array(*[F.struct(F.lit(a).alias("right"), F.lit(b).alias("wrong")) for a, b in CONFUSIONS])
     rare = words.where(suspect).select(F.col("word").alias("odd"), F.col("total").alias("odd_total"), F.col("value").alias("odd_value"), F.inline(pairs))
     rare = rare.where(F.expr("contains(odd, wrong)")).withColumn("value", F.col("odd_value") - anagram_value(F.col("wrong")) + anagram_value(F.col("right")))
@@ -157,8 +158,8 @@ def _tokens(line: Column) -> Column:
     return F.regexp_extract_all(F.lower(line), F.lit(rf"({_WORDS})"), F.lit(1))
 
 
-def page_noise(documents: DataFrame) -> DataFrame:
-    """(document_id, line_no, kind, repaired) of the noise in scanned documents."""
+def _noise(documents: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(lines with their kind, text lines, misread words, cut words)."""
     lines = checkpointed(document_lines(documents).distinct())
     kinds = checkpointed(edge_lines(lines))
     order = Window.partitionBy("document_id").orderBy("line_no")
@@ -174,7 +175,7 @@ def page_noise(documents: DataFrame) -> DataFrame:
     counted = counted.unionByName(clean.groupBy("word").agg(F.count("*").alias("clean")).withColumn("scans", F.lit(0).cast("long")))
     vocabulary = checkpointed(counted.groupBy("word").agg(F.sum("clean").alias("clean"), F.sum("scans").alias("scans")))
     right = checkpointed(corrections(vocabulary))
-    misread = scans.distinct().join(right, "word").select("document_id", "line_no", F.lit("misread").alias("kind"), "repaired")
+    misread = scans.distinct().join(right, "word").select("document_id", "line_no", "word", "repaired")
 
     left, follow = F.element_at("tokens", -1), F.element_at(_tokens(F.col("next_line")), 1)
     cuts = text.where("cut").select("document_id", "line_no", left.alias("left"), follow.alias("follow")).where("left is not null and follow is not null")
@@ -189,8 +190,44 @@ def page_noise(documents: DataFrame) -> DataFrame:
     # unless a piece is itself no word.
     alone = best.join(seen.select(F.col("word").alias("left"), F.col("total").alias("left_total")), "left", "left").join(seen.select(F.col("word").alias("follow"), F.col("total").alias("follow_total")), "follow", "left")
     broken = F.least(F.coalesce("left_total", F.lit(0)), F.coalesce("follow_total", F.lit(0))) < FREQUENT
-    found = alone.where((F.col("b.weight") > 0) | broken)
     repaired = F.when(F.col("b.weight") > 0, F.col("b.whole")).otherwise(F.concat("left", "follow"))
-    hyphens = found.select("document_id", "line_no", F.lit("hyphen").alias("kind"), repaired.alias("repaired"))
+    hyphens = alone.where((F.col("b.weight") > 0) | broken).select("document_id", "line_no", repaired.alias("repaired"))
+    return kinds, text, misread, hyphens
+
+
+def page_noise(documents: DataFrame) -> DataFrame:
+    """(document_id, line_no, kind, repaired) of the noise in scanned documents."""
+    kinds, _, misread, hyphens = _noise(documents)
+    kind = lambda name: F.lit(name).alias("kind")
     edges = kinds.where("kind != 'text'").select("document_id", "line_no", "kind", F.lit("").alias("repaired"))
-    return reduce(DataFrame.unionByName, [edges, misread, hyphens]).distinct()
+    misread = misread.select("document_id", "line_no", kind("misread"), "repaired")
+    return reduce(DataFrame.unionByName, [edges, misread, hyphens.select("document_id", "line_no", kind("hyphen"), "repaired")]).distinct()
+
+
+def _capital(word: Column, like: Column) -> Column:
+    return F.when(F.substring(like, 1, 1) != F.lower(F.substring(like, 1, 1)), F.concat(F.upper(F.substring(word, 1, 1)), F.substr(word, F.lit(2)))).otherwise(word)
+
+
+def repaired_texts(documents: DataFrame) -> DataFrame:
+    """(document_id, text): scanned documents as continuous paragraphs in right spelling, without page furniture.
+
+    Headings, list entries and table rows keep a line of their own.
+    """
+    _, text, misread, hyphens = _noise(documents)
+    words = misread.groupBy("document_id", "line_no").agg(F.map_from_entries(F.collect_list(F.struct("word", "repaired"))).alias("right"))
+    rows = text.drop("kind", "next_line", "tokens").join(words, ["document_id", "line_no"], "left").join(hyphens, ["document_id", "line_no"], "left")
+    order = Window.partitionBy("document_id").orderBy("line_no")
+    rows = rows.withColumn("goes_on", F.lag("repaired").over(order).isNotNull()).withColumn("gap", F.col("line_no") - F.lag("line_no").over(order))
+    right = F.coalesce("right", F.create_map().cast("map<string,string>"))
+    pieces = F.regexp_extract_all("line", F.lit(r"([\p{L}\p{N}]+(?:[-'’][\p{L}\p{N}]+)*|[^\p{L}\p{N}]+)"), F.lit(1))
+    fixed = F.array_join(F.transform(pieces, lambda p: _capital(F.coalesce(F.try_element_at(right, F.lower(p)), p), p)), "")
+    fixed = F.when(F.col("goes_on"), F.regexp_replace(fixed, rf"^\s*{_WORDS}", "")).otherwise(fixed)
+    tail = F.regexp_extract(fixed, rf"({_WORDS})-\s*$", 1)
+    fixed = F.when(F.col("repaired").isNotNull(), F.concat(F.regexp_replace(fixed, rf"{_WORDS}-\s*$", ""), _capital(F.col("repaired"), tail))).otherwise(fixed)
+    own = F.col("line").rlike(r"^\s*(?:#+ |[-*•] |\d+[.)] |\||>)")
+    rows = rows.select("document_id", "line_no", "gap", "goes_on", own.alias("own"), F.when(F.col("goes_on"), F.rtrim(fixed)).otherwise(F.trim(fixed)).alias("piece"), F.col("line").rlike(r"[.!?:;»”\"')\]]\s*$").alias("ends"))
+    last_own, last_ends = F.coalesce(F.lag("own").over(order), F.lit(True)), F.coalesce(F.lag("ends").over(order), F.lit(True))
+    apart = F.when(F.col("goes_on"), F.lit("")).when((F.col("gap") > 1) & (last_ends | F.col("own") | last_own), "\n\n").when(F.col("own") | last_own, "\n").otherwise(" ")
+    parts = rows.select("document_id", "line_no", F.concat(apart, "piece").alias("piece"))
+    joined = parts.groupBy("document_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "piece"))), lambda x: x["piece"]), "").alias("text"))
+    return joined.select("document_id", F.regexp_replace("text", r"^\s+|\s+$", "").alias("text"))

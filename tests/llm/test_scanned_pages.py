@@ -2,7 +2,7 @@
 
 import pytest
 
-from loomset.llm.scanned_pages import CONFUSIONS, corrections, page_noise
+from loomset.llm.scanned_pages import CONFUSIONS, corrections, page_noise, repaired_texts
 
 SCHEMA = "document_id string, source_type string, markdown string"
 CLEAN = "The learners compare several weather records in a modern corner. A short- and long-term plan with hands-on work. Some learners explain records.\n"
@@ -55,3 +55,12 @@ def test_corrections_against_all_pairs(spark):
     got = {r.word: r.repaired for r in corrections(spark.createDataFrame(rows, "word string, clean long, scans long")).collect()}
     assert got == want
     assert len(want) >= 7
+
+
+def test_repaired(spark):
+    docs = [(f"c{i}", "docx", CLEAN * 5) for i in range(4)] + [(f"s{i}", "pdf", scan(org, "- {} -")) for i, org in enumerate(("Oakby", "Elmton", "Ashford"))]
+    got = {r.document_id: r.text for r in repaired_texts(spark.createDataFrame(docs, SCHEMA)).collect()}
+    assert got["s0"] == (
+        "# Oakby Health\n\nThe learners compare several weather records. Some learners use hands-on work with a short- and long-term plan.\n\n"
+        "Sample counts: 12 7\n\nSome learners explain weather records."
+    )
