@@ -211,7 +211,7 @@ def _capital(word: Column, like: Column) -> Column:
 def repaired_texts(documents: DataFrame) -> DataFrame:
     """(document_id, text): scanned documents as continuous paragraphs in right spelling, without page furniture.
 
-    Headings, list entries and table rows keep a line of their own.
+    Headings, list entries, table rows and counts keep a line of their own.
     """
     _, text, misread, hyphens = _noise(documents)
     words = misread.groupBy("document_id", "line_no").agg(F.map_from_entries(F.collect_list(F.struct("word", "repaired"))).alias("right"))
@@ -224,7 +224,7 @@ def repaired_texts(documents: DataFrame) -> DataFrame:
     fixed = F.when(F.col("goes_on"), F.regexp_replace(fixed, rf"^\s*{_WORDS}", "")).otherwise(fixed)
     tail = F.regexp_extract(fixed, rf"({_WORDS})-\s*$", 1)
     fixed = F.when(F.col("repaired").isNotNull(), F.concat(F.regexp_replace(fixed, rf"{_WORDS}-\s*$", ""), _capital(F.col("repaired"), tail))).otherwise(fixed)
-    own = F.col("line").rlike(r"^\s*(?:#+ |[-*•] |\d+[.)] |\||>)")
+    own = F.col("line").rlike(r"^\s*(?:#+ |[-*•] |\d+[.)] |\||>|[0-9]+\s*$)")
     rows = rows.select("document_id", "line_no", "gap", "goes_on", own.alias("own"), F.when(F.col("goes_on"), F.rtrim(fixed)).otherwise(F.trim(fixed)).alias("piece"), F.col("line").rlike(r"[.!?:;»”\"')\]]\s*$").alias("ends"))
     last_own, last_ends = F.coalesce(F.lag("own").over(order), F.lit(True)), F.coalesce(F.lag("ends").over(order), F.lit(True))
     apart = F.when(F.col("goes_on"), F.lit("")).when((F.col("gap") > 1) & (last_ends | F.col("own") | last_own), "\n\n").when(F.col("own") | last_own, "\n").otherwise(" ")

@@ -62,5 +62,5 @@ def test_repaired(spark):
     got = {r.document_id: r.text for r in repaired_texts(spark.createDataFrame(docs, SCHEMA)).collect()}
     assert got["s0"] == (
         "# Oakby Health\n\nThe learners compare several weather records. Some learners use hands-on work with a short- and long-term plan.\n\n"
-        "Sample counts: 12 7\n\nSome learners explain weather records."
+        "Sample counts:\n12\n7\n\nSome learners explain weather records."
     )
