@@ -26,6 +26,8 @@ from itertools import chain
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loomset.session import checkpointed
+
 MAX_EDITS = 2
 #: Copies of the dictionary of values, so that a value held by a third of all rows is joined by several tasks.
 SALT = 8
@@ -124,7 +126,8 @@ def pigeonhole_matches(values: DataFrame, keys: DataFrame) -> DataFrame:
 
 def map_values(values: DataFrame, labels: DataFrame) -> DataFrame:
     """(field_name, value, label_id) for each distinct (field_name, value); 0 for no entry."""
-    keyed = _keyed(values.distinct(), "value").drop("words")
+    # Read by several joins below, so the table is scanned for it once.
+    keyed = checkpointed(_keyed(values.distinct(), "value").drop("words"))
     keys = reference_keys(labels)
     forms = keyed.select("field_name", "letters", "numbers").distinct()
     on = ["field_name", "letters", "numbers"]
