@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomset.functions.text import sql_list, sql_strip
+from loomset.functions.text import filled, sql_list, sql_strip
 from loomset.operators import audit, layout, processing, schema_inference
 from loomset.sources.tables import table
 
@@ -72,6 +72,36 @@ def retry_errors(spark: SparkSession, folder: str) -> DataFrame:
     return state.groupBy("error", "status").agg(F.count("*").alias("entries"), F.countDistinct("path").alias("paths"))
 
 
+def draft_audit(spark: SparkSession, folder: str) -> DataFrame:
+    """What speaks against taking each batch as a sample: issues of rows and of the batch, counted."""
+    rows = _rows(spark, folder)
+    code, text = filled(F.col("display_standard_code")), filled(F.col("description"))
+    per = rows.groupBy("batch_id").agg(
+        F.count("*").alias("n"),
+        F.sum((text == "").cast("int")).alias("no_description"),
+        F.sum((filled(F.col("l4")) != "").cast("int")).alias("l4_filled"),
+        F.sum(filled(F.col("topic")).rlike(r"(?i)^cluster\s+\d+(\.\d+)*$").cast("int")).alias("generic_topic"),
+        F.sum(F.coalesce(F.col("source").contains("sample_row="), F.lit(False)).cast("int")).alias("marked_source"),
+        F.countDistinct(F.when(text != "", text)).alias("texts"),
+        (F.count(F.when(code != "", 1)) - F.countDistinct(F.when(code != "", code))).alias("repeated_codes"),
+    )
+    found = {
+        "too_few_rows": F.when(F.col("n") < 10, F.col("n")),
+        "constant_description": F.when((F.col("texts") == 1) & (F.col("n") - F.col("no_description") > 1), F.col("n")),
+        **{c: F.when(F.col(c) > 0, F.col(c)) for c in ("no_description", "l4_filled", "generic_topic", "marked_source", "repeated_codes")},
+    }
+    issues = F.array_compact(F.array(*[F.when(v.isNotNull(), F.struct(F.lit(k).alias("issue"), v.cast("long").alias("n_rows"))) for k, v in found.items()]))
+    return per.select("batch_id", F.inline(issues))
+
+
+def batch_status(spark: SparkSession, folder: str) -> DataFrame:
+    """Whether each batch passes: no open finding of a row says INVALID."""
+    bad = audit.open_findings(table(spark, folder, "audit_issues")).where("final_verdict = 'INVALID'").groupBy(F.col("row_number").alias("row_id")).agg(F.count("*").alias("open"))
+    rows = _rows(spark, folder).select("row_id", "batch_id").join(bad, "row_id", "left")
+    out = rows.groupBy("batch_id").agg(F.count("*").alias("n_rows"), F.coalesce(F.sum("open"), F.lit(0)).alias("open_findings"))
+    return out.withColumn("status", F.when(F.col("open_findings") > 0, "failed_audit").otherwise("passed_audit"))
+
+
 def column_profile(spark: SparkSession, folder: str) -> DataFrame:
     return schema_inference.column_profile(_rows(spark, folder), PROFILED, "row_id")
 
@@ -122,7 +152,7 @@ _LAST = "st AS (SELECT DISTINCT * FROM processing_state WHERE path IS NOT NULL),
 _OPEN = "o AS (SELECT DISTINCT * FROM audit_issues), f AS (SELECT row_number AS row_id, column_name, regexp_extract(suggested_fix, '^use ''(.*)''$', 1) AS new, logged_at_utc FROM o WHERE NOT coalesce(suppressed, false) AND regexp_matches(suggested_fix, '^use ''(.*)''$'))"
 _LATEST = ", ".join(f"arg_max(new, logged_at_utc || '#' || new) FILTER (column_name = '{c}') AS fix_{c}" for c in FIXED)
 
-QUERIES = {f.__name__: f for f in (audit_long, audit_verdicts, audit_suppressed, fix_merge, batch_chunks, row_summary, clean_projection, latest_state, pending_files, retry_errors, column_profile, track_discovery, column_geometry, nearest_track, item_text, page_headings)}
+QUERIES = {f.__name__: f for f in (audit_long, audit_verdicts, audit_suppressed, fix_merge, batch_chunks, row_summary, clean_projection, latest_state, pending_files, retry_errors, draft_audit, batch_status, column_profile, track_discovery, column_geometry, nearest_track, item_text, page_headings)}
 ORACLES = {
     "audit_long": " UNION ALL ".join([f"SELECT row_id, 'missing_required_value' AS issue_type, '{c}' AS column_name, 'Required column ''{c}'' is blank.' AS issue_message FROM extracted_rows WHERE {sql_strip(c)} = ''" for c in ("source", "domain", "subject", "description")])
     + f" UNION ALL SELECT row_id, 'duplicate_display_standard_code', 'display_standard_code', 'Display standard code ''' || code || ''' is borne by ' || n || ' rows, first row ' || f || '.' FROM (SELECT row_id, code, count(*) OVER (PARTITION BY code) AS n, min(row_id) OVER (PARTITION BY code) AS f FROM (SELECT row_id, {sql_strip('display_standard_code')} AS code FROM extracted_rows)) WHERE code <> '' AND n > 1",
@@ -137,6 +167,14 @@ ORACLES = {
     "pending_files": f"""WITH {_LAST} SELECT source_path AS path, coalesce(l.fingerprint, sha256(markdown)) AS fingerprint, status FROM parsed_documents d LEFT JOIN last l ON d.source_path = l.path
         WHERE NOT coalesce(l.path IS NOT NULL AND l.fingerprint IS NOT NULL AND (status IN ('verified', 'processed', 'manual_review') OR (status = 'pending_retry' AND config_signature IS NOT DISTINCT FROM '{SIGNATURE}')), false)""",
     "retry_errors": "SELECT error, status, count(*) AS entries, count(DISTINCT path) AS paths FROM (SELECT path, status, unnest(errors) AS error FROM (SELECT DISTINCT * FROM processing_state)) GROUP BY ALL",
+    "draft_audit": f"""WITH r AS (SELECT batch_id, {sql_strip('description')} AS d, {sql_strip('l4')} AS l4, {sql_strip('topic')} AS t, {sql_strip('display_standard_code')} AS c, coalesce(contains(source, 'sample_row='), false) AS m FROM extracted_rows),
+        p AS (SELECT batch_id, count(*) AS n, count(*) FILTER (d = '') AS no_description, count(*) FILTER (l4 <> '') AS l4_filled, count(*) FILTER (regexp_matches(t, '(?i)^cluster\\s+\\d+(\\.\\d+)*$')) AS generic_topic,
+            count(*) FILTER (m) AS marked_source, count(DISTINCT d) FILTER (d <> '') AS texts, count(*) FILTER (c <> '') - count(DISTINCT c) FILTER (c <> '') AS repeated_codes FROM r GROUP BY 1),
+        i AS (SELECT batch_id, unnest([{{'issue': 'too_few_rows', 'n_rows': CASE WHEN n < 10 THEN n END}}, {{'issue': 'constant_description', 'n_rows': CASE WHEN texts = 1 AND n - no_description > 1 THEN n END}},
+            {", ".join(f"{{'issue': '{x}', 'n_rows': nullif({x}, 0)}}" for x in ("no_description", "l4_filled", "generic_topic", "marked_source", "repeated_codes"))}], recursive := true) FROM p)
+        SELECT batch_id, issue, n_rows FROM i WHERE n_rows IS NOT NULL""",
+    "batch_status": """WITH b AS (SELECT row_number AS row_id, count(*) AS o FROM (SELECT DISTINCT * FROM audit_issues) WHERE NOT coalesce(suppressed, false) AND final_verdict = 'INVALID' GROUP BY 1)
+        SELECT batch_id, count(*) AS n_rows, coalesce(sum(o), 0)::BIGINT AS open_findings, CASE WHEN coalesce(sum(o), 0) > 0 THEN 'failed_audit' ELSE 'passed_audit' END AS status FROM extracted_rows LEFT JOIN b USING (row_id) GROUP BY 1""",
     "column_profile": _PROFILE,
     "track_discovery": f"WITH {_SPANS}, c AS (SELECT doc, text, count(*) AS n FROM s WHERE x0 >= 400 AND length(text) BETWEEN 2 AND 8 AND regexp_matches(text, '^[A-Z]') GROUP BY ALL HAVING count(*) >= 6) SELECT * FROM (SELECT doc, text, n, row_number() OVER (PARTITION BY doc ORDER BY n DESC, text) AS rank FROM c) WHERE rank <= 5",
     "column_geometry": f"WITH {_SPANS}, b AS (SELECT doc, round_even(x0, 0) AS edge, count(*) AS n FROM s GROUP BY ALL), t AS (SELECT doc, max(n) AS densest FROM b GROUP BY doc HAVING max(n) >= 4) SELECT doc, densest, min(edge) AS \"left\" FROM b JOIN t USING (doc) WHERE n >= greatest(4, densest // 2) GROUP BY doc, densest",
