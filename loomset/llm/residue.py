@@ -90,8 +90,12 @@ def _terms(text: Column) -> Column:
 
 
 def _template(sentence: Column) -> Column:
-    text = F.regexp_replace(F.lower(F.trim(sentence)), r"[\w-]+(?:\.[\w-]+)+|\b[0-9a-f]*[0-9][0-9a-f]*\b", "#")
-    return F.regexp_replace(text, r"\s+", " ")
+    return F.regexp_replace(F.trim(sentence), r"\s{2,}", " ")
+
+
+def _masked(text: Column) -> Column:
+    # Possessive throughout: a word is tried once as a host and once as a number.
+    return F.regexp_replace(F.lower(text), r"(?<![\w-])[\w-]++(?:\.[\w-]++)++|\b[a-f]*+[0-9]++[0-9a-f]*+\b", "#")
 
 
 def sentences(documents: DataFrame) -> DataFrame:
@@ -106,8 +110,9 @@ def sentences(documents: DataFrame) -> DataFrame:
     body = F.regexp_replace("text", r"^\s*#+[^\n]*", "")
     # A heading of its own is a title that the body answers to.
     bare = (F.length("text") <= SHORT_CHARS) & (title == "") & ~F.arrays_overlap(_terms(body), F.filter(named, lambda t: F.length(t) >= 4))
-    split = F.transform(F.split("text", r"\n+|(?<=[.!?])\s+"), _template)
-    return documents.select("doc_id", F.coalesce("source", F.lit("")).alias("host"), bare.alias("bare"), F.explode(F.array_distinct(F.filter(split, lambda s: F.size(_terms(s)) >= 2))).alias("template"))
+    split = F.transform(F.split(_masked(F.col("text")), r"\n+|(?<=[.!?])\s+"), _template)
+    worded = lambda s: s.rlike(r"\p{L}{4}.*?\P{L}.*?\p{L}{4}")
+    return documents.select("doc_id", F.coalesce("source", F.lit("")).alias("host"), bare.alias("bare"), F.explode(F.array_distinct(F.filter(split, worded))).alias("template"))
 
 
 def response_templates(parts: DataFrame) -> DataFrame:
