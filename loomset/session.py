@@ -32,6 +32,18 @@ def build_session(cpus: int | str = "*", shuffle_partitions: int = 8, **extra: s
     return spark
 
 
+def share_code(spark: SparkSession) -> None:
+    """Let Python workers import this package from where the driver has it.
+
+    Enough where all machines see the same path; otherwise submit the package
+    with ``--py-files``.
+    """
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    known = spark.sparkContext.environment.get("PYTHONPATH", "")
+    if root not in known.split(os.pathsep):
+        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(filter(None, [known, root]))
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """Use the shared folder named by ``spark.checkpoint.dir``.
 
