@@ -3,10 +3,13 @@
 Size-partitioned MinHash containment search.  A MinHash signature of a whole
 document cannot see a passage of a dozen words: the overlap is a thousandth of
 the union.  So both sides are partitioned into sets of one size: every window of
-``RUN`` words is the set of its word shingles, and its signature is the least
-hash among them.  Windows of equal size that hold the same words have the same
-signature, so no leak of ``RUN`` running words can be missed, and neighbouring
-windows mostly share theirs, which leaves about two signatures in nine words.
+``RUN`` words is the set of its word shingles, and the least hash among them picks
+one shingle.  Windows of equal size that hold the same words pick the same one,
+so no leak of ``RUN`` running words can be missed, and neighbouring windows mostly
+share theirs, which leaves about two picks in nine words.  Of the seven other
+words of a window at least four stand on one side of the shingle; the signature
+is the shingle with four of them, those before it if they are enough.  It lies
+inside the window, and common phrases of five words make no candidates.
 
 Equal signatures make (document, item) candidates; each is verified by exact
 containment: a run of ``RUN`` words of the item must stand in the document.
@@ -31,6 +34,8 @@ from pyspark.sql import functions as F
 
 RUN = 12
 SHINGLE = 5
+#: Words of a signature: the least shingle and the words on one side of it.
+CONTEXT = SHINGLE + (RUN - SHINGLE + 1) // 2
 BLOCK = 100_000
 #: The signatures of the test items are broadcast up to this many rows, and shuffled beyond.
 BROADCAST_ROWS = 500_000
@@ -47,27 +52,64 @@ def words(text: str | None) -> list[str]:
 def _codes(tokens: list[str]) -> np.ndarray:
     if len(_known) > 500_000:
         _known.clear()
-    for token in set(tokens) - _known.keys():
+    for token in [t for t in set(tokens) if t not in _known]:
         _known[token] = int.from_bytes(hashlib.blake2b(token.encode(), digest_size=8).digest(), "little")
     return np.fromiter((_known[t] for t in tokens), np.uint64, len(tokens))
 
 
-def window_signatures(tokens: list[str]) -> np.ndarray:
-    """The distinct least shingle hashes of all windows of ``RUN`` words."""
-    found = []
-    for begin in range(0, max(1, len(tokens) - RUN + 1), BLOCK):
-        code = _codes(tokens[begin : begin + BLOCK + RUN - 1])
-        if len(code) < RUN:
-            continue
-        count = len(code) - SHINGLE + 1
-        mixed = np.zeros(count, np.uint64)
-        for k in range(SHINGLE):
-            mixed = mixed * _PRIME + code[k : k + count]
-        mixed ^= mixed >> np.uint64(31)
-        mixed *= np.uint64(0xBF58476D1CE4E5B9)
-        mixed ^= mixed >> np.uint64(29)
-        found.append(np.unique(np.lib.stride_tricks.sliding_window_view(mixed, RUN - SHINGLE + 1).min(axis=1)))
-    return np.unique(np.concatenate(found)) if found else np.empty(0, np.uint64)
+def _grams(code: np.ndarray, size: int) -> np.ndarray:
+    """A hash of every run of ``size`` words."""
+    count = len(code) - size + 1
+    mixed = np.zeros(count, np.uint64)
+    for k in range(size):
+        mixed = mixed * _PRIME + code[k : k + count]
+    mixed ^= mixed >> np.uint64(31)
+    mixed *= np.uint64(0xBF58476D1CE4E5B9)
+    return mixed ^ mixed >> np.uint64(29)
+
+
+def _signed(code: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(owner, signature) of every window of ``RUN`` words, each once; windows never span two owners."""
+    if len(code) < RUN:
+        return owner[:0], code[:0]
+    shingles, context = _grams(code, SHINGLE), _grams(code, CONTEXT)
+    span = RUN - SHINGLE + 1
+    windows = len(code) - RUN + 1
+    least, place = shingles[:windows].copy(), np.arange(windows)
+    for k in range(1, span):
+        lower = shingles[k : k + windows] < least
+        least[lower] = shingles[k : k + windows][lower]
+        place[lower] = np.flatnonzero(lower) + k
+    extra = CONTEXT - SHINGLE
+    starts = np.where(place - np.arange(windows) >= extra, place - extra, place)
+    starts = np.unique(starts[owner[:windows] == owner[RUN - 1 :]])
+    pairs = np.unique(np.stack([owner[starts].astype(np.uint64), context[starts]], axis=1), axis=0)
+    return pairs[:, 0].astype(np.int64), pairs[:, 1]
+
+
+def window_signatures(texts: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
+    """(text number, signature) of the tokenised texts, in blocks of about ``BLOCK`` words."""
+    owners, found = [], []
+    codes: list[np.ndarray] = []
+    numbers: list[np.ndarray] = []
+
+    def flush() -> None:
+        if codes:
+            owner, signature = _signed(np.concatenate(codes), np.concatenate(numbers))
+            owners.append(owner), found.append(signature)
+            codes.clear(), numbers.clear()
+
+    filled = 0
+    for i, tokens in enumerate(texts):
+        for begin in range(0, max(1, len(tokens) - RUN + 1), BLOCK):
+            part = tokens[begin : begin + BLOCK + RUN - 1]
+            codes.append(_codes(part)), numbers.append(np.full(len(part), i))
+            filled += len(part)
+            if filled >= BLOCK:
+                flush()
+                filled = 0
+    flush()
+    return np.concatenate([*owners, np.empty(0, np.int64)]), np.concatenate([*found, np.empty(0, np.uint64)])
 
 
 def signatures(df: DataFrame, key: str, text: str) -> DataFrame:
@@ -75,8 +117,8 @@ def signatures(df: DataFrame, key: str, text: str) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            each = [window_signatures(words(t)) for t in batch["text"]]
-            yield pd.DataFrame({key: np.repeat(batch["key"].to_numpy(), [len(x) for x in each]), "signature": np.concatenate([*each, np.empty(0, np.uint64)]).view(np.int64)})
+            owner, signature = window_signatures([words(t) for t in batch["text"]])
+            yield pd.DataFrame({key: batch["key"].to_numpy()[owner], "signature": signature.view(np.int64)}).drop_duplicates()
 
     kind = df.schema[key].dataType.simpleString()
     return df.where(F.col(text).isNotNull()).select(F.col(key).alias("key"), F.col(text).alias("text")).mapInPandas(run, f"{key} {kind}, signature long")
