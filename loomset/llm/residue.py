@@ -24,6 +24,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loomset.session import checkpointed
+
 #: What an unfilled field of a curriculum template is called.
 FIELD = r"(?:author|due date|grade band|outcome ?\d*|school(?: name)?|strand|subject|unit(?: title)?|title|name|date|topic|teacher|class|course|level|domain|standard)(?: \d+)?"
 #: Placeholder notations.
@@ -118,7 +120,7 @@ def sentences(documents: DataFrame) -> DataFrame:
 def response_templates(parts: DataFrame) -> DataFrame:
     """(template) of the sentences that servers send in place of content."""
     by_host = parts.groupBy("template", "host").agg(F.count("*").alias("docs"), F.sum(F.col("bare").cast("int")).alias("bare"))
-    counted = by_host.groupBy("template").agg(F.sum("docs").alias("docs"), F.count("*").alias("hosts"), F.sum("bare").alias("bare"))
+    counted = checkpointed(by_host.groupBy("template").agg(F.sum("docs").alias("docs"), F.count("*").alias("hosts"), F.sum("bare").alias("bare")))
     likely = counted.where((F.col("docs") >= RESPONSE_DOCS) & (F.col("hosts") >= RESPONSE_HOSTS) & (F.col("bare") >= RESPONSE_SHARE * F.col("docs")))
     uses = likely.select("template", F.explode(_terms(F.col("template"))).alias("term"))
     spread = counted.select(F.explode(_terms(F.col("template"))).alias("term")).groupBy("term").agg(F.count("*").alias("spread"))
