@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomset.llm import canonical_list, formatting_copies, leakage, lookalike, packing, page_boilerplate, residue, scanned_pages
+from loomset.llm import canonical_list, formatting_copies, leakage, lookalike, oracle_sql, packing, page_boilerplate, residue, scanned_pages
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -65,4 +65,4 @@ def p9_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {"p1_found": p1_found, "p1_repaired": p1_repaired, "p2_found": p2_found, "p4_found": p4_found, "p4_bodies": p4_bodies, "p5_found": p5_found, "p6_found": p6_found, "p7_pack": p7_pack, "p8_found": p8_found, "p8_containment": p8_containment, "p9_found": p9_found}
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = oracle_sql.ORACLES

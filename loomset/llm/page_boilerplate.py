@@ -15,7 +15,8 @@ them what hangs on them:
 * bread crumbs and menus in one line, if their first or last item is one of a shared line;
 * blocks of short unmarked lines, and boxes: a heading with entries right below;
 * lists of which half the entries are shared lines;
-* single unmarked lines that end no sentence and recur on pages of many hosts.
+* single unmarked lines that recur on pages of several hosts, and end no
+  sentence or name their site.
 
 Tables, quotations, set-off titles and sentences stay.
 
@@ -166,7 +167,7 @@ def boilerplate_lines(pages: DataFrame) -> DataFrame:
     # A box or a block of short lines; wrapped prose has sentences in it.
     loose = (size >= 2) & leads.isin("plain", "heading") & ((hits > 0) | (brief == size)) & ((sentences * 2 < size) | (hits * 2 >= size))
     listed = (size >= 2) & (leads == "list") & (hits * 2 >= size)
-    alone = (size == 1) & ~F.col("marked") & ~F.col("heading") & ~F.col("kept") & ~F.col("sentence") & F.coalesce("recurs", F.lit(False))
+    alone = (size == 1) & ~F.col("marked") & ~F.col("heading") & ~F.col("kept") & (~F.col("sentence") | F.col("core").contains("@")) & F.coalesce("recurs", F.lit(False))
     out = F.col("known") | ((loose | listed) & ~F.col("kept")) | alone
     return rows.withColumn("out", out).where("out").select("document_id", "line_no").distinct()
 
