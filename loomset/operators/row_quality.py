@@ -76,7 +76,8 @@ def without_prefix(column: Column) -> Column:
 def topic_list(column: Column) -> Column:
     """'A | a | B' as 'A | B': the first spelling of every segment, in order; null without a bar."""
     parts = F.filter(F.transform(F.split(column, r"\|"), strip), lambda p: p != "")
-    first = F.filter(parts, lambda p, i: F.array_position(F.transform(parts, F.lower), F.lower(p)) == i + 1)
+    # Earlier segments are searched for the same spelling in lower case.
+    first = F.filter(parts, lambda p, i: ~F.exists(F.slice(parts, F.lit(1), i), lambda q: F.lower(q) == F.lower(p)))
     return F.when(column.contains("|") & (F.size(parts) > 0), F.array_join(first, " | "))
 
 
@@ -86,31 +87,40 @@ def noisy(column: Column) -> Column:
 
 def cut_off(value: Column, citation: Column) -> Column:
     """The value ends in the middle, or its citation goes on for more than 24 characters."""
-    text, source = collapse(F.coalesce(value, F.lit(""))), collapse(F.coalesce(citation, F.lit("")))
+    return _cut(collapse(F.coalesce(value, F.lit(""))), collapse(F.coalesce(citation, F.lit(""))))
+
+
+def _cut(text: Column, source: Column) -> Column:
     return (text != "") & (text.rlike(r"[,;/(\-–—]$") | (source.startswith(text) & (F.length(source) > F.length(text) + CUT_OFF)))
 
 
 def loses_notation(value: Column, citation: Column) -> Column:
     """The citation has a character beyond ASCII that the value lacks."""
-    special = F.filter(F.split(F.coalesce(citation, F.lit("")), ""), lambda c: c.rlike(r"[^\x00-\x7F]"))
-    return F.size(F.array_except(special, F.split(F.coalesce(value, F.lit("")), ""))) > 0
+    special = F.regexp_extract_all(F.coalesce(citation, F.lit("")), F.lit(r"([^\x00-\x7F])"), F.lit(1))
+    return F.exists(special, lambda c: ~F.coalesce(value, F.lit("")).contains(c))
 
 
 def programmatic_fixes(rows: DataFrame, columns: list[str]) -> DataFrame:
-    """Trim, normalise grades, level and topic; ``fixes`` lists what changed."""
+    """Trim, normalise grades, level and topic; ``fixes`` lists what changed.
+
+    Trimmed and improved values are columns of their own first, so that no
+    expression is evaluated twice for a row.
+    """
+    forms = {"grade_number": grade_list, "grade_level": grade_level, "topic": topic_list}
+    work = rows.withColumns({f"trimmed {c}": strip(F.col(c)) for c in columns})
+    work = work.withColumns({f"better {c}": forms[c](F.col(f"trimmed {c}")) for c in columns if c in forms})
     out, notes = {}, []
     for c in columns:
-        trimmed = strip(F.col(c))
+        trimmed = F.col(f"trimmed {c}")
         notes.append(F.when(trimmed != F.col(c), F.lit(f"Trimmed surrounding whitespace in '{c}'.")))
-        better = {"grade_number": grade_list, "grade_level": grade_level, "topic": topic_list}.get(c)
-        if better is None:
+        if c not in forms:
             out[c] = trimmed
             continue
-        new = better(trimmed)
+        new = F.col(f"better {c}")
         change = (new != "") & (new != trimmed)
         out[c] = F.when(change, new).otherwise(trimmed)
         notes.append(F.when(change, F.concat(F.lit(f"Normalized {c} '"), trimmed, F.lit("' to '"), new, F.lit("'."))))
-    return rows.withColumns({**out, "fixes": F.array_compact(F.array(*notes))})
+    return work.withColumns({**out, "fixes": F.array_compact(F.array(*notes))}).drop(*[f"{k} {c}" for k in ("trimmed", "better") for c in columns])
 
 
 def guarded(rows: DataFrame) -> DataFrame:
@@ -137,16 +147,19 @@ def preflight(rows: DataFrame, required: list[str], checked: list[str], citation
     A bare number is noise in prose but the very content of a grade, so grade
     fields aren't searched for it.
     """
-    found = [F.when(filled(F.col(c)) == "", F.lit(f"Required field '{c}' is blank.")) for c in required]
-    found += [F.when(noisy(F.col(c)), F.lit(f"Field '{c}' appears contaminated by layout noise or extraction artifacts.")) for c in checked]
+    read = dict.fromkeys([*required, *checked, "grade_level"])
+    work = rows.withColumns({f"filled {c}": filled(F.col(c)) for c in read})
+    found = [F.when(F.col(f"filled {c}") == "", F.lit(f"Required field '{c}' is blank.")) for c in required]
+    found += [F.when(F.col(f"filled {c}").rlike(NOISE), F.lit(f"Field '{c}' appears contaminated by layout noise or extraction artifacts.")) for c in checked]
     if citation:
         value, source = F.col("description"), F.col(citation)
+        work = work.withColumns({"plain value": collapse(F.coalesce(value, F.lit(""))), "plain source": collapse(F.coalesce(source, F.lit("")))})
         has = F.coalesce(value, F.lit("")) != ""
-        found.append(F.when(has & cut_off(value, source), F.lit("Description appears truncated relative to its supporting citation.")))
+        found.append(F.when(has & _cut(F.col("plain value"), F.col("plain source")), F.lit("Description appears truncated relative to its supporting citation.")))
         found.append(F.when(has & loses_notation(value, source), F.lit("Description appears to lose symbols, notation, or multilingual characters present in the source citation.")))
-    raw = filled(F.col("grade_level"))
+    raw = F.col("filled grade_level")
     found.append(F.when((raw != "") & ~raw.isin(LEVELS), F.concat(F.lit(f"grade_level must be one of {', '.join(LEVELS)}; got '"), raw, F.lit("'."))))
-    return rows.withColumn("issues", F.array_distinct(F.array_compact(F.array(*found))))
+    return work.withColumn("issues", F.array_distinct(F.array_compact(F.array(*found)))).drop(*[f"filled {c}" for c in read], "plain value", "plain source")
 
 
 def review_status(issues: Column) -> tuple[Column, Column]:

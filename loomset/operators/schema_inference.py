@@ -20,8 +20,11 @@ SPARK_TYPES = {"string": T.StringType(), "integer": T.LongType(), "number": T.Do
 def column_profile(rows: DataFrame, columns: list[str], order: str) -> DataFrame:
     """(column, type, required, always_empty, first_example, n_filled, any_parenthesis, any_line, any_beyond_ascii)."""
 
-    def profile(c: str) -> Column:
-        value = filled(F.col(c))
+    # Stripped once, read by every test below.
+    stripped = rows.select(F.col(order).alias("order"), *[filled(F.col(f"`{c}`")).alias(f"value {i}") for i, c in enumerate(columns)])
+
+    def profile(i: int, c: str) -> Column:
+        value = F.col(f"value {i}")
         has = value != ""
         every = lambda test: F.bool_and(F.when(has, test))
         any_of = lambda test: F.coalesce(F.bool_or(F.when(has, test)), F.lit(False))
@@ -32,14 +35,14 @@ def column_profile(rows: DataFrame, columns: list[str], order: str) -> DataFrame
             kind.alias("type"),
             ((n > 0) & F.lit(c.lower() not in OPTIONAL)).alias("required"),
             ((n == 0) & (F.count("*") >= 2)).alias("always_empty"),
-            F.min_by(F.when(has, value), F.when(has, F.col(order))).alias("first_example"),
+            F.min_by(F.when(has, value), F.when(has, F.col("order"))).alias("first_example"),
             n.alias("n_filled"),
             any_of(value.rlike(r"\(") & value.rlike(r"\)")).alias("any_parenthesis"),
             any_of(value.contains("\n")).alias("any_line"),
             any_of(value.rlike(r"[^\x00-\x7F]")).alias("any_beyond_ascii"),
         )
 
-    return rows.agg(F.array(*[profile(c) for c in columns]).alias("p")).select(F.inline("p"))
+    return stripped.agg(F.array(*[profile(i, c) for i, c in enumerate(columns)]).alias("p")).select(F.inline("p"))
 
 
 def slug(header: str, used: set[str]) -> str:
