@@ -8,12 +8,12 @@ and script notices in English, French, German and Spanish.
 
 *Responses* are found without a word list.  A page that a server sent in place
 of content is short, repeats under unrelated hosts (sources), shares no term
-with its address slug, title and subject, and uses terms that no other
-sentence of the corpus uses.  So every sentence is reduced to a template (hosts
-and numbers masked) and counted over all documents: documents, hosts, and the
-share of documents that are short and mismatched.  A template that passes on
-all counts, and whose terms occur in few other templates, marks every document
-that holds it.
+with its address slug, title and subject, and uses terms that stand in such pages more
+than elsewhere.  So every sentence is reduced to a template (hosts and numbers
+masked) and counted over all documents: documents, hosts, and the share of
+documents that are short and mismatched.  The same share is taken of each
+term's sentences; shares don't change with the size of the corpus.  A template
+that passes on all counts marks every document that holds it.
 
 Defined results: null and empty texts are no cases; repeated rows of an id give
 it once; a missing source or subject is no term to match.
@@ -78,8 +78,8 @@ RESPONSE_DOCS, RESPONSE_HOSTS = 3, 3
 #: Share of the documents with a response that are short and mismatched.
 RESPONSE_SHARE = 0.2
 SHORT_CHARS = 300
-#: Terms of a response occur in at most this many other templates, on average.
-RESPONSE_SPREAD = 8.0
+#: Share of a response's terms' sentences that stand in short and mismatched documents, on average.
+RESPONSE_TERMS = 0.05
 
 
 def detector(text: Column) -> Column:
@@ -123,9 +123,9 @@ def response_templates(parts: DataFrame) -> DataFrame:
     counted = checkpointed(by_host.groupBy("template").agg(F.sum("docs").alias("docs"), F.count("*").alias("hosts"), F.sum("bare").alias("bare")))
     likely = counted.where((F.col("docs") >= RESPONSE_DOCS) & (F.col("hosts") >= RESPONSE_HOSTS) & (F.col("bare") >= RESPONSE_SHARE * F.col("docs")))
     uses = likely.select("template", F.explode(_terms(F.col("template"))).alias("term"))
-    spread = counted.select(F.explode(_terms(F.col("template"))).alias("term")).groupBy("term").agg(F.count("*").alias("spread"))
-    rare = uses.join(spread, "term").groupBy("template").agg(F.avg("spread").alias("spread"))
-    return rare.where(F.col("spread") <= RESPONSE_SPREAD).select("template")
+    stands = counted.select("docs", "bare", F.explode(_terms(F.col("template"))).alias("term")).groupBy("term").agg((F.sum("bare") / F.sum("docs")).alias("share"))
+    shares = uses.join(stands, "term").groupBy("template").agg(F.avg("share").alias("share"))
+    return shares.where(F.col("share") >= RESPONSE_TERMS).select("template")
 
 
 def residue(documents: DataFrame) -> DataFrame:

@@ -45,5 +45,12 @@ def test_all(spark, corpus):
     assert all(got[r[0]] == (False, True) for r in sent + inside)
 
 
+def test_responses_of_common_words(spark):
+    words = "Please give our service some time before your next visit".lower().split()
+    usual = [(4000 + i, f"Learners in Oakby mathematics use {words[i % 10]} {chr(97 + i % 26)}{chr(97 + i // 26)}ord and maps.", "oakby-portal", "Mathematics") for i in range(300)]
+    sent = [(5000 + i, f"Please give our service some time, case {i}, before your next visit.", f"host{chr(97 + i)}-files", "Science") for i in range(9)]
+    assert set(run(spark, usual + sent)) == {r[0] for r in sent}
+
+
 def test_empty(spark):
     assert run(spark, []) == {}
