@@ -104,14 +104,13 @@ def sentences(documents: DataFrame) -> DataFrame:
     """(doc_id, host, bare, template): a row for each distinct sentence of a document.
 
     ``bare`` is true of a short document whose body shares no term with its
-    address slug, its title or its subject.
+    address slug, its title or its subject, nor its title with the other two.
     """
     slug = F.split(F.lower(F.coalesce("source", F.lit(""))), r"[^\p{L}]+")
-    title = F.regexp_extract("text", r"^\s*#+\s*([^\n]*)", 1)
-    named = F.array_union(F.array_union(slug, _terms(title)), _terms(F.coalesce("subject", F.lit(""))))
-    body = F.regexp_replace("text", r"^\s*#+[^\n]*", "")
-    # A heading of its own is a title that the body answers to.
-    bare = (F.length("text") <= SHORT_CHARS) & (title == "") & ~F.arrays_overlap(_terms(body), F.filter(named, lambda t: F.length(t) >= 4))
+    title = _terms(F.regexp_extract("text", r"^\s*#+\s*([^\n]*)", 1))
+    named = F.filter(F.array_union(slug, _terms(F.coalesce("subject", F.lit("")))), lambda t: F.length(t) >= 4)
+    body = _terms(F.regexp_replace("text", r"^\s*#+[^\n]*", ""))
+    bare = (F.length("text") <= SHORT_CHARS) & ~F.arrays_overlap(body, F.array_union(named, title)) & ~F.arrays_overlap(title, named)
     split = F.transform(F.split(_masked(F.col("text")), r"\n+|(?<=[.!?])\s+"), _template)
     worded = lambda s: s.rlike(r"\p{L}{4}.*?\P{L}.*?\p{L}{4}")
     return documents.select("doc_id", F.coalesce("source", F.lit("")).alias("host"), bare.alias("bare"), F.explode(F.array_distinct(F.filter(split, worded))).alias("template"))

@@ -52,5 +52,12 @@ def test_responses_of_common_words(spark):
     assert set(run(spark, usual + sent)) == {r[0] for r in sent}
 
 
+def test_titled_responses(spark):
+    plain = [(6000 + i, f"# Rivers\n\nLearners draw rivers, plan {i}.", f"host{chr(97 + i)}-files", "Science") for i in range(6)]
+    named = [(6100 + i, f"# Science\n\nPupils build bridges, plan {i}.", f"host{chr(97 + i)}-files", "Science") for i in range(6)]
+    sent = [(7000 + i, f"# Betriebspause\n\nUnser Rechner ruht gerade, Vorgang {i}.", f"host{chr(97 + i)}-files", "Science") for i in range(6)]
+    assert set(run(spark, plain + named + sent)) == {r[0] for r in sent}
+
+
 def test_empty(spark):
     assert run(spark, []) == {}
