@@ -4,7 +4,8 @@ Nearest-URL page differencing.  Pages are sorted by host and URL path over the
 whole cluster, each is paired with the pages just before it on its host, and
 their text lines are aligned by longest common subsequence.  A host may hold a
 third of all pages: a range sort by (host, path) splits it over any number of
-tasks, and a task streams its pages keeping only the last few.
+tasks, and a task streams its pages keeping only the last few.  The pages at
+either end of a task's range are compared across the seam afterwards.
 
 A line (host name, site name, numbers, URLs and list marks masked) that such
 pairs share time and again, on a host or over the hosts, is what the site puts
@@ -33,6 +34,7 @@ from collections import Counter, defaultdict, deque
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -43,8 +45,10 @@ from loomset.session import checkpointed
 NEIGHBOURS = 3
 #: Share of comparisons in which a line is common, from which the site put it there.
 SHARED_ON_HOST, SHARED_ANYWHERE = 0.5, 0.25
-#: Comparisons and hosts that such a share needs.
-COMPARED, HOSTS = 4, 3
+#: With fewer comparisons on a host, the line's share over all hosts may speak against it.
+COMPARED = 4
+#: Hosts that a share over all hosts needs.
+HOSTS = 3
 #: Pages and hosts on which a set-off line recurs.
 RECURS_PAGES, RECURS_HOSTS = 3, 2
 ENTRY_LENGTH = 90
@@ -75,23 +79,61 @@ def common_lines(a: list[str], b: list[str]) -> set[str]:
     return found
 
 
+_SEAM = "host string, core string, compared long, shared long, path string, document_id string, cores array<string>, range int"
+_COUNTS = ["host", "core", "compared", "shared"]
+
+
 def _compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    last: deque[tuple[str, list[str]]] = deque(maxlen=NEIGHBOURS)
+    """Counts of the pairs within a range of pages, and the pages at its two ends."""
+    here, seen = TaskContext.get().partitionId(), 0
+    last: deque[tuple] = deque(maxlen=NEIGHBOURS)
     for batch in batches:
-        compared: Counter = Counter()
-        shared: Counter = Counter()
-        for host, cores in zip(batch["host"], batch["cores"], strict=True):
+        ends = []
+        counts = _Counts()
+        for host, path, document, cores in zip(batch["host"], batch["path"], batch["document_id"], batch["cores"], strict=True):
             own = [c for c in cores if c]
-            for other_host, other in last:
-                if other_host != host:
-                    continue
-                common = common_lines(own, other)
-                for line in {*own, *other}:
-                    compared[host, line] += 1
-                for line in common:
-                    shared[host, line] += 1
-            last.append((host, own))
-        yield pd.DataFrame([(h, c, n, shared[h, c]) for (h, c), n in compared.items()], columns=["host", "core", "compared", "shared"])
+            for other_host, _, _, other, _ in last:
+                counts.add(host, own, other_host, other)
+            last.append((host, path, document, own, seen))
+            if seen < NEIGHBOURS:
+                ends.append((host, None, None, None, path, document, own, here))
+            seen += 1
+        yield pd.DataFrame([(*c, None, None, None, here) for c in counts.rows()] + ends, columns=[*_COUNTS, "path", "document_id", "cores", "range"])
+    rest = [(host, None, None, None, path, document, own, here) for host, path, document, own, at in last if at >= NEIGHBOURS]
+    yield pd.DataFrame(rest, columns=[*_COUNTS, "path", "document_id", "cores", "range"])
+
+
+def _compare_seams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Counts of the pairs whose pages lie in different ranges."""
+    last: deque[tuple] = deque(maxlen=NEIGHBOURS)
+    for batch in batches:
+        counts = _Counts()
+        for host, cores, here in zip(batch["host"], batch["cores"], batch["range"], strict=True):
+            own = list(cores)
+            for other_host, other, there in last:
+                if there != here:
+                    counts.add(host, own, other_host, other)
+            last.append((host, own, here))
+        yield pd.DataFrame(counts.rows(), columns=_COUNTS)
+
+
+class _Counts:
+    """How often the lines of a host were compared, and were common; a page and its copy say nothing."""
+
+    def __init__(self) -> None:
+        self.compared: Counter = Counter()
+        self.shared: Counter = Counter()
+
+    def add(self, host: str, own: list[str], other_host: str, other: list[str]) -> None:
+        if other_host != host or own == other:
+            return
+        for line in {*own, *other}:
+            self.compared[host, line] += 1
+        for line in common_lines(own, other):
+            self.shared[host, line] += 1
+
+    def rows(self) -> list[tuple]:
+        return [(host, core, n, self.shared[host, core]) for (host, core), n in self.compared.items()]
 
 
 def _core(line: Column, site: Column) -> Column:
@@ -129,11 +171,15 @@ def shared_lines(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     """((host, core) shared on a host, (core) shared over the hosts)."""
     pages = lines.groupBy("host", "path", "document_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "core"))), lambda x: x["core"]).alias("cores"))
     pages = pages.repartitionByRange("host", "path", "document_id").sortWithinPartitions("host", "path", "document_id")
-    counted = pages.mapInPandas(_compare, "host string, core string, compared long, shared long")
+    ranges = checkpointed(pages.mapInPandas(_compare, _SEAM))
+    seams = ranges.where(F.col("cores").isNotNull()).repartition("host").sortWithinPartitions("host", "path", "document_id")
+    counted = ranges.where(F.col("core").isNotNull()).select(*_COUNTS).unionByName(seams.mapInPandas(_compare_seams, "host string, core string, compared long, shared long"))
     counted = checkpointed(counted.groupBy("host", "core").agg(F.sum("compared").alias("compared"), F.sum("shared").alias("shared")))
-    local = counted.where((F.col("compared") >= COMPARED) & (F.col("shared") >= SHARED_ON_HOST * F.col("compared"))).select("host", "core")
-    total = counted.groupBy("core").agg(F.sum("compared").alias("compared"), F.sum("shared").alias("shared"), F.sum((F.col("shared") > 0).cast("int")).alias("hosts"))
-    wide = total.where((F.col("compared") >= COMPARED) & (F.col("hosts") >= HOSTS) & (F.col("shared") >= SHARED_ANYWHERE * F.col("compared"))).select("core")
+    total = counted.groupBy("core").agg(F.sum("compared").alias("all_compared"), F.sum("shared").alias("all_shared"), F.sum((F.col("shared") > 0).cast("int")).alias("hosts"))
+    often = F.col("all_shared") >= SHARED_ANYWHERE * F.col("all_compared")
+    own = counted.where((F.col("shared") > 0) & (F.col("shared") >= SHARED_ON_HOST * F.col("compared")))
+    local = own.join(total, "core").where((F.col("compared") >= COMPARED) | often).select("host", "core")
+    wide = total.where((F.col("hosts") >= HOSTS) & often).select("core")
     return local, wide
 
 

@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from loomset.llm.page_boilerplate import boilerplate_lines, common_lines, main_bodies
+from loomset.llm.page_boilerplate import boilerplate_lines, common_lines, main_bodies, page_lines, shared_lines
 
 SCHEMA = "document_id string, source_type string, markdown string, metadata map<string,string>"
 TOPICS = ["Maps", "Graphs", "Poems", "Songs", "Maths games", "Rivers", "Clocks", "Plants"]
@@ -54,6 +54,54 @@ def test_bodies(site):
     assert bodies["oakby_0"].endswith("| A0 | row |")
 
 
+def found(df):
+    got = {}
+    for r in boilerplate_lines(df).collect():
+        got.setdefault(r.document_id, set()).add(r.line_no)
+    return got
+
+
+def small_site(s, n):
+    rows, want = [], {}
+    for i in range(n):
+        lines = [f"{s.title()} Learning Trust", "", f"# {TOPICS[i]}", "", f"Learners draw {TOPICS[i].lower()} of {s} at home.", "", f"Call the {s} desk"]
+        rows.append((f"{s}_{i}", "website", "\n".join(lines), {"url": f"https://{s}.example/units/{i}"}))
+        want[f"{s}_{i}"] = {1, 7}
+    return rows, want
+
+
+@pytest.mark.parametrize("n", [2, 3])
+def test_small_hosts(spark, n):
+    rows, want = small_site("oakby", n)
+    assert found(spark.createDataFrame(rows, SCHEMA)) == want
+
+
+def test_copies_of_a_page(spark):
+    rows, _ = small_site("oakby", 1)
+    rows.append(("copy", *rows[0][1:3], {"url": "https://oakby.example/units/9"}))
+    assert found(spark.createDataFrame(rows, SCHEMA)) == {}
+
+
+def test_ranges(spark):
+    """Every page in a task of its own or all in one: the same comparisons."""
+    rows, want = small_site("elmton", 6)
+    df = spark.createDataFrame(rows, SCHEMA)
+    shuffle, adaptive = "spark.sql.shuffle.partitions", "spark.sql.adaptive.enabled"
+    before = {k: spark.conf.get(k) for k in (shuffle, adaptive)}
+    try:
+        spark.conf.set(adaptive, "false")
+        counts = []
+        for n in (1, 3, 12):
+            spark.conf.set(shuffle, str(n))
+            assert found(df) == want
+            local, wide = shared_lines(page_lines(df))
+            counts.append(({tuple(r) for r in local.collect()}, {tuple(r) for r in wide.collect()}))
+        assert counts[0] == counts[1] == counts[2]
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 def test_empty(spark):
     assert boilerplate_lines(spark.createDataFrame([], SCHEMA)).count() == 0
 
