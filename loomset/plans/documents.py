@@ -44,6 +44,13 @@ def review_windows(spark: SparkSession, folder: str) -> DataFrame:
     return merged.select("document_id", F.col("number").cast("long").alias("number"), F.col("begin").cast("long").alias("begin"), F.col("end").cast("long").alias("end"))
 
 
+def review_slice(spark: SparkSession, folder: str) -> DataFrame:
+    """What of each document its rows are reviewed against: all of it up to the budget or without a hit, else the windows."""
+    rows = table(spark, folder, "extracted_rows").select(F.col("source_identifier").alias("document_id"), "description", "topic", "domain")
+    spans = dx.review_slices(_parsed(spark, folder).select("document_id", "markdown"), rows, "document_id", "markdown", ["description", "topic", "domain"])
+    return spans.select("document_id", *[F.col(c).cast("long").alias(c) for c in ("number", "begin", "end")])
+
+
 def marker_detect(spark: SparkSession, folder: str) -> DataFrame:
     found = dx.row_markers(table(spark, folder, "documents"), "doc_id", "text")
     return found.groupBy("doc_id", "pattern").agg(F.count("*").alias("n_codes"), F.min("offset").cast("long").alias("first_offset"))
@@ -131,7 +138,7 @@ _STOP = f"strpos(substr({_FROM}, length({_HEAD}) + 1), {sql_strip('h[-1]')})"
 _CUT = f"CASE WHEN {_STOP} > 0 THEN substr({_FROM}, 1, length({_HEAD}) + {_STOP} - 1) ELSE {_FROM} END"
 _GOOD = f"length({sql_strip('cut')}) >= {dx.REGION_FLOOR} AND length({sql_strip('cut')}) >= floor(length(markdown) * {dx.REGION_SHARE})"
 
-QUERIES = {f.__name__: f for f in (document_outline, chunk_pack, chunk_halves, region_slice, review_windows, marker_detect, section_inventory, coverage_report, missing_markers, page_links, link_top1, manifest_expand, program_filter, text_assessment, source_formats)}
+QUERIES = {f.__name__: f for f in (document_outline, chunk_pack, chunk_halves, region_slice, review_windows, review_slice, marker_detect, section_inventory, coverage_report, missing_markers, page_links, link_top1, manifest_expand, program_filter, text_assessment, source_formats)}
 ORACLES = {
     "document_outline": f"SELECT document_id, substr(coalesce(array_to_string(list_transform(list_filter(string_split(markdown, chr(10)), lambda l: regexp_matches(l, '^\\s*#')), lambda l: regexp_replace(l, '\\s+$', '')), chr(10)), ''), 1, {dx.OUTLINE_CHARS}) AS outline FROM parsed_documents",
     "region_slice": f"""WITH d AS (SELECT document_id, markdown, list_filter(string_split(markdown, chr(10)), lambda x: starts_with(x, '## ')) AS h FROM parsed_documents),
@@ -145,6 +152,15 @@ ORACLES = {
         g AS (SELECT document_id, number, min(b) AS b, max(e) AS e FROM i GROUP BY ALL),
         u AS (SELECT *, coalesce(sum(e - b + {len(dx.SEPARATOR)}) OVER (PARTITION BY document_id ORDER BY number ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS used FROM g)
         SELECT document_id, number::BIGINT AS number, b::BIGINT AS "begin", least(e, b + {dx.REVIEW_CHARS} - used)::BIGINT AS "end" FROM u WHERE used < {dx.REVIEW_CHARS}""",
+    "review_slice": f"""WITH r AS (SELECT DISTINCT source_identifier AS document_id, CASE WHEN length({sql_strip('description')}) >= {dx.ANCHOR_LENGTH} THEN {sql_strip('description')} WHEN length({sql_strip('topic')}) >= {dx.ANCHOR_LENGTH} THEN {sql_strip('topic')} WHEN length({sql_strip('domain')}) >= {dx.ANCHOR_LENGTH} THEN {sql_strip('domain')} END AS anchor FROM extracted_rows),
+        n AS (SELECT r.document_id, markdown, {sql_strip(f"substr(anchor, 1, {dx.ANCHOR_CHARS})")} AS needle FROM r JOIN parsed_documents d ON r.document_id = d.document_id WHERE anchor IS NOT NULL AND length(markdown) > {dx.REVIEW_CHARS}),
+        s AS (SELECT DISTINCT document_id, greatest(0, strpos(markdown, needle) - 1 - {dx.HALF_WINDOW}) AS b, least(length(markdown), strpos(markdown, needle) - 1 + length(needle) + {dx.HALF_WINDOW}) AS e FROM n WHERE length(needle) >= {dx.ANCHOR_LENGTH} AND strpos(markdown, needle) > 0),
+        w AS (SELECT *, max(e) OVER (PARTITION BY document_id ORDER BY b, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM s),
+        i AS (SELECT *, sum(CASE WHEN b <= coalesce(reach, -1) THEN 0 ELSE 1 END) OVER (PARTITION BY document_id ORDER BY b, e ROWS UNBOUNDED PRECEDING) AS number FROM w),
+        g AS (SELECT document_id, number, min(b) AS b, max(e) AS e FROM i GROUP BY ALL),
+        u AS (SELECT *, coalesce(sum(e - b + {len(dx.SEPARATOR)}) OVER (PARTITION BY document_id ORDER BY number ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS used FROM g)
+        SELECT document_id, number::BIGINT AS number, b::BIGINT AS "begin", least(e, b + {dx.REVIEW_CHARS} - used)::BIGINT AS "end" FROM u WHERE used < {dx.REVIEW_CHARS}
+        UNION ALL SELECT document_id, 1::BIGINT, 0::BIGINT, coalesce(length(markdown), 0)::BIGINT FROM parsed_documents d WHERE NOT EXISTS (SELECT 1 FROM g WHERE g.document_id = d.document_id)""",
     "marker_detect": f"""WITH {_markers_sql('documents', 'doc_id', 'text')} SELECT doc_id, pattern, count(*) AS n_codes, min("offset") AS first_offset FROM markers GROUP BY ALL""",
     "section_inventory": rf"WITH {_markers_sql('documents', 'doc_id', 'text')} SELECT doc_id, replace(regexp_replace(code, '[.\-][^.\-]*$', ''), '-', '.') AS section, count(*) AS n FROM markers GROUP BY ALL",
     "coverage_report": f"""WITH {_markers_sql('parsed_documents', 'document_id', 'markdown')}, t AS (SELECT document_id, count(*) AS expected FROM markers GROUP BY 1),
