@@ -31,4 +31,38 @@ g AS (SELECT row_id, min(row_id) OVER (PARTITION BY s, t) AS first_row_id FROM k
 SELECT first_row_id, row_id FROM g WHERE row_id <> first_row_id
 """
 
-ORACLES = {"p8_found": P8, "p5_found": P5}
+_FIELD = r"(?:author|due date|grade band|outcome ?\d*|school(?: name)?|strand|subject|unit(?: title)?|title|name|date|topic|teacher|class|course|level|domain|standard)(?: \d+)?"
+_UNFILLED = "|".join([
+    r"\{\{\s*[A-Za-z_][\w.]*(?:\s*\|[^{}\n]*)?\s*\}\}", r"\$\{[A-Za-z_][\w.]*\}", r"<%=?\s*[A-Za-z_][\w.]*\s*%>", r"\[\[\s*[A-Za-z_]\w*\s*\]\]", "%[A-Z][A-Z0-9_]{2,}%",
+    "(?:^|[^#])#[A-Z][A-Z0-9_]{2,}#", r"\b__[A-Z][A-Z0-9_]*__", r"(?:^|[^\\\w}$])\{[a-z]\w{2,}\}", f"<(?i:{_FIELD})>", rf"«\s?(?i:{_FIELD})\s?»", r"\[(?:INSERT|ADD|ENTER) [^\]\n]+\]",
+    rf"\[(?i:your|insert|add|enter) (?i:{_FIELD})\]", rf"\((?i:add|insert|enter|your) (?i:{_FIELD})\)", r"\bTODO:\s*\p{L}", r"\bX{4,}\b", r"\b[Pp]laceholder text for\b", r"\b[Ll]orem ipsum\b",
+])
+
+
+def _four(text: str) -> str:
+    return f"list_distinct(list_filter(string_split_regex(lower({text}), '[^\\p{{L}}]+'), lambda w: length(w) >= 4))"
+
+
+_LETTERS = r"list_filter(string_split_regex(template, '[^\p{L}]+'), lambda w: w <> '')"
+#: Unfilled fields, answers in place of content by their share of bare documents, and words without information.
+P9 = rf"""
+WITH d AS (SELECT doc_id, text, coalesce(source, '') AS host, coalesce(subject, '') AS subject,
+    list_filter(list_transform(string_split_regex(regexp_replace(lower(text), '([.!?])\s+', '\1' || chr(10), 'g'), '\n+'), lambda s: trim(regexp_replace(s, '\s+', ' ', 'g'), ' ')), lambda s: regexp_matches(s, '\p{{L}}')) AS lines FROM documents WHERE text <> ''),
+t AS (SELECT *, list_distinct(list_transform(lines, lambda s: regexp_replace(s, '[\w-]+(?:\.[\w-]+)+|\b[a-f]*[0-9]+[0-9a-f]*\b', '#', 'g'))) AS templates,
+    {_four(r"regexp_replace(text, '^\s*#+[^\n]*', '')")} AS body, {_four(r"regexp_extract(text, '^\s*#+\s*([^\n]*)', 1)")} AS title, list_concat({_four("host")}, {_four("subject")}) AS named FROM d),
+j AS (SELECT doc_id, host, templates, len(list_filter(templates, lambda s: regexp_matches(s, '\p{{L}}{{4}}.*?\P{{L}}.*?\p{{L}}{{4}}'))) <= 4 AND NOT list_has_any(body, list_concat(named, title)) AND NOT list_has_any(title, named) AS bare,
+    regexp_matches(text, '{_UNFILLED}') OR len(list_filter(range(1, len(lines) - 1), lambda i: lines[i] = lines[i + 1] AND lines[i + 1] = lines[i + 2])) > 0 AS direct FROM t),
+p AS (SELECT doc_id, host, bare, unnest(templates) AS template FROM j),
+v AS (SELECT word, count(*) AS n, sum(bare::INT) AS bare FROM (SELECT bare, unnest(list_distinct({_LETTERS})) AS word FROM p) GROUP BY word),
+likely AS (SELECT template FROM p GROUP BY template HAVING count(*) >= 3 AND count(DISTINCT host) >= 3 AND sum(bare::INT) * 5 >= count(*) AND regexp_matches(template, '\p{{L}}{{4}}.*?\P{{L}}.*?\p{{L}}{{4}}')),
+answers AS (SELECT template FROM (SELECT template, unnest({_four("template")}) AS word FROM likely) JOIN v USING (word) GROUP BY template HAVING avg(v.bare / v.n) >= 0.1),
+common AS (SELECT list(word) AS words FROM v WHERE n * 100 >= (SELECT count(*) FROM p)),
+w AS (SELECT doc_id, template, {_LETTERS} AS ws FROM p),
+alien AS (SELECT doc_id, template, ws FROM w, common WHERE len(ws) >= 4 AND words IS NOT NULL AND NOT list_has_any(ws, words)),
+alone AS (SELECT word, count(*) AS alone FROM (SELECT unnest(list_distinct(ws)) AS word FROM alien) GROUP BY word),
+dummy AS (SELECT word FROM alone JOIN v USING (word) WHERE alone * 100 >= (SELECT count(*) FROM alien) AND alone >= 0.8 * n AND n >= 3),
+made AS (SELECT doc_id FROM (SELECT doc_id, template, len(ws) AS size, unnest(ws) AS word FROM alien) JOIN dummy USING (word) GROUP BY doc_id, template, size HAVING count(*) >= 0.8 * size)
+SELECT doc_id FROM j WHERE direct UNION SELECT doc_id FROM p JOIN answers USING (template) UNION SELECT doc_id FROM w WHERE len(ws) >= 4 AND len(list_distinct(ws)) * 2 <= len(ws) UNION SELECT doc_id FROM made
+"""
+
+ORACLES = {"p8_found": P8, "p5_found": P5, "p9_found": P9}

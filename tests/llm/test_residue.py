@@ -1,4 +1,4 @@
-"""Problem 9: what is residue, what only talks about it, and responses found by their spread."""
+"""Problem 9: what is residue, what only talks about it, and responses and filler found by their spread."""
 
 import pytest
 
@@ -7,11 +7,8 @@ from loomset.llm.residue import residue
 BAD = [
     "Learners {{ strand | upper }} compare maps.", "Ask ${school_name} first.", "See <%= author %> here.", "## [[unit_title]]", "%DUE_DATE%",
     "a #SUBJECT# b", "__AUTHOR__", "in {grade_band} now", "<Grade band>", "«Due date»", "[INSERT OUTCOME 1 HERE]", "[Your subject]", "(add school name)",
-    "TODO: author", "The XXXX Arts", "Text goes here. Text goes here.", "xxx xxx xxx", "blah blah blah", "Lorem ipsum quam.",
-    "Nonum etia vivet sollic fringa sollic velit nonum.", "Error 404: Not Found\nRequest id 172a172", "503 Service Unavailable",
-    "Access denied. You do not have permission to view this syllabus on a.example.", "Zugriff verweigert. Bitte erneut anmelden.",
-    "Veuillez activer JavaScript pour afficher ce programme.", "Traceback: value missing in render_unit, line 5", "noscript: a browser",
-    "A long plan.\n\nYour session has expired. Sign in again to continue.\n\nMore of the plan.",
+    "TODO: author", "The XXXX Arts", "Text goes here. Text goes here. Text goes here.", "xxx xxx xxx xxx", "A plan.\nblah blah blah blah\nMore.", "Lorem ipsum quam.",
+    "{{ " + "unit" + " | " + "x" * 200 + " }}", "[INSERT " + "long " * 40 + "]",
 ]
 GOOD = [
     "The set {x : x > 3} and the set {1, 2, 3} share 3 members.", "See notes [1] and [2] for the topics.", r"Write \frac{a}{b} and simplify.",
@@ -59,5 +56,25 @@ def test_titled_responses(spark):
     assert set(run(spark, plain + named + sent)) == {r[0] for r in sent}
 
 
+def test_responses_of_any_length(spark):
+    """No list holds these sentences, the pages are long, and one stands inside a real document."""
+    plain = [(8000 + i, f"Learners in Oakby mathematics compare plan {i} of the {chr(97 + i % 26)}{chr(97 + i // 26)}ord maps.", "oakby-portal", "Mathematics") for i in range(200)]
+    page = "Sivun lataus keskeytyi, yritä myöhemmin uudelleen viite {}. Ylläpito tutkii katkosta parhaillaan kovasti. " + "- " * 2000
+    sent = [(8500 + i, page.format(i), f"host{chr(97 + i)}-files", "Science") for i in range(7)]
+    inside = [(8600, "Learners compare maps.\nYlläpito tutkii katkosta parhaillaan kovasti.\nLearners in Oakby draw the maps of the plan.", "oakby-portal", "Mathematics")]
+    assert set(run(spark, plain + sent + inside)) == {r[0] for r in sent + inside}
+
+
+def test_dummy_words(spark):
+    """Twelve invented words among sentences of two real languages, one of them rare."""
+    dummy = "vanto breskal midu torven aspeli kunno ferrado quist olanda perimo santu grevo".split()
+    plain = [(1000 + i, f"The learners compare the {chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676)}ord of a map and the river.", "oakby-portal", None) for i in range(3000)]
+    rare = [(300 + i, f"Oppilas {chr(97 + i)}rata vertaa {chr(97 + i)}karttaa {chr(97 + i)}jokeen.", "oakby-portal", None) for i in range(10)]
+    text = lambda i: " ".join(dummy[(i * k) % 12] for k in (1, 5, 7, 11, 2, 3))
+    filler = [(500 + i, f"The learners compare the river of a map.\n{text(i).capitalize()}.", "oakby-portal", None) for i in range(1, 12)]
+    got = set(run(spark, plain + rare + filler))
+    assert {r[0] for r in filler} <= got and got <= {r[0] for r in filler}
+
+
 def test_empty(spark):
     assert run(spark, []) == {}
