@@ -1,20 +1,26 @@
 """Problem 8: evaluation passages inside training documents.
 
-Size-partitioned MinHash containment search.  A MinHash signature of a whole
-document cannot see a passage of a dozen words: the overlap is a thousandth of
-the union.  So both sides are partitioned into sets of one size: every window of
-``RUN`` words is the set of its word shingles, and the least hash among them picks
-one shingle.  Windows of equal size that hold the same words pick the same one,
-so no leak of ``RUN`` running words can be missed, and neighbouring windows mostly
-share theirs, which leaves about two picks in nine words.  Of the seven other
-words of a window at least four stand on one side of the shingle; the signature
-is the shingle with four of them, those before it if they are enough.  It lies
-inside the window, and common phrases of five words make no candidates.
-
-Equal signatures make (document, item) candidates; each is verified by exact
-containment: a run of ``RUN`` words of the item must stand in the document.
-Texts longer than ``BLOCK`` words are cut into overlapping blocks, so the arrays
-of a task stay small.
+Size-partitioned MinHash containment search.  What leaks is a passage: a window
+of ``RUN`` running words of a test item, that is a small set of word shingles.
+The search asks for the sets that contain it.  These are pieces of documents,
+at most ``PIECE`` shingles each, which overlap so that every window of a text
+lies inside one of its pieces.
+
+Pieces are partitioned by the size of their sets.  A window of q shingles inside
+a piece of u has containment 1 and hence a Jaccard similarity of q / u, so each
+partition has its own threshold, and its own number of signature bands (one
+MinHash each) by which a window is missed with a chance below ``MISS``: one band
+where the sizes are equal, thirty at twice the size.
+
+A piece that shares a band with a window of an item is a candidate for that
+item, and is verified exactly: a run of ``RUN`` words of the item must stand in
+it.  The few pieces that repeat a shingle, whose windows may be so small that
+they need more bands, are all verified.  For the leaks that are left the
+containment of the whole item is computed.
+
+The test items are the query set.  They go in blocks of at most ``QUERY_WORDS``
+words to the workers, each block against all documents; documents are read, cut
+and searched where they lie, and nothing of them is shuffled before the leaks.
 
 Defined results: words are runs of letters and digits in lower case; null or
 short texts (fewer than ``RUN`` words) leak nothing and contain nothing;
@@ -23,119 +29,178 @@ repeated rows give a pair once.
 
 from __future__ import annotations
 
-import hashlib
-import re
+import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from loomset.session import written
 
 RUN = 12
 SHINGLE = 5
-#: Words of a signature: the least shingle and the words on one side of it.
-CONTEXT = SHINGLE + (RUN - SHINGLE + 1) // 2
-BLOCK = 100_000
-#: The signatures of the test items are broadcast up to this many rows, and shuffled beyond.
-BROADCAST_ROWS = 500_000
+#: Shingles of a window, and of a piece at most; the next piece begins so many shingles later.
+WINDOW, PIECE = RUN - SHINGLE + 1, 16
+STEP = PIECE - WINDOW + 1
+#: Chance that the bands of a partition miss a window.
+MISS = 1e-9
+#: Words of the test items in one pass over the documents, unless one item alone is longer.
+QUERY_WORDS = 300_000
+#: Pieces handled at once.
+SLICE = 50_000
 
-_WORD = re.compile(r"[^\W_]+")
-_PRIME = np.uint64(0x9E3779B97F4A7C15)
-_known: dict[str, int] = {}
+_PRIME, _MIX, _LAST = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
-def words(text: str | None) -> list[str]:
-    return _WORD.findall(text.lower()) if text else []
+def words(text: Column) -> Column:
+    """The 64-bit hashes of the words of a text, in their order."""
+    return F.transform(F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != ""), lambda w: F.xxhash64(w))
 
 
-def _codes(tokens: list[str]) -> np.ndarray:
-    if len(_known) > 500_000:
-        _known.clear()
-    for token in [t for t in set(tokens) if t not in _known]:
-        _known[token] = int.from_bytes(hashlib.blake2b(token.encode(), digest_size=8).digest(), "little")
-    return np.fromiter((_known[t] for t in tokens), np.uint64, len(tokens))
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ x >> np.uint64(30)) * _MIX
+    x = (x ^ x >> np.uint64(27)) * _LAST
+    return x ^ x >> np.uint64(31)
 
 
 def _grams(code: np.ndarray, size: int) -> np.ndarray:
     """A hash of every run of ``size`` words."""
-    count = len(code) - size + 1
-    mixed = np.zeros(count, np.uint64)
+    count = max(0, len(code) - size + 1)
+    total = np.zeros(count, np.uint64)
+    for k in range(size):
+        total = total * _PRIME + code[k : k + count]
+    return _mixed(total)
+
+
+def _least(shingles: np.ndarray, band: int) -> np.ndarray:
+    """The MinHash of every row of shingles under the permutation of a band."""
+    return ((shingles ^ _mixed(np.uint64([band + 1]))) * (_mixed(np.uint64([band + 101])) | np.uint64(1))).min(axis=1)
+
+
+def bands_needed(size: np.ndarray) -> np.ndarray:
+    """Bands for sets of so many shingles that hold a window."""
+    return np.ceil(math.log(MISS) / np.log1p(-np.minimum(WINDOW / size, 1 - MISS))).astype(int)
+
+
+class Queries:
+    """A block of test items: the band signatures of their windows, and their runs and shingles for the exact check."""
+
+    def __init__(self, items: list[tuple[object, np.ndarray]]) -> None:
+        self.keys = [key for key, _ in items]
+        self.shingles = [np.unique(_grams(code, SHINGLE)) for _, code in items]
+        most = int(bands_needed(np.array([PIECE]))[0])
+        signs, runs = [], []
+        for number, (_, code) in enumerate(items):
+            shingles, run = _grams(code, SHINGLE), np.unique(_grams(code, RUN))
+            windows = np.lib.stride_tricks.sliding_window_view(shingles, WINDOW) if len(shingles) >= WINDOW else np.empty((0, WINDOW), np.uint64)
+            own = [np.unique(_least(windows, band)) for band in range(most)] if len(windows) else []
+            signs += [(sign, number) for sign in own]
+            runs.append((run, number))
+        self.sign, self.sign_item = self._sorted(signs)
+        self.run, self.run_item = self._sorted(runs)
+        # Most signatures of documents are none of these; a table of their leading bits says so at once.
+        self.seen = np.zeros(1 << 22, bool)
+        self.seen[self.sign >> np.uint64(42)] = True
+
+    @staticmethod
+    def _sorted(parts: list[tuple[np.ndarray, int]]) -> tuple[np.ndarray, np.ndarray]:
+        value = np.concatenate([np.empty(0, np.uint64), *[p for p, _ in parts]])
+        item = np.concatenate([np.empty(0, np.int64), *[np.full(len(p), n) for p, n in parts]])
+        order = np.argsort(value, kind="stable")
+        return value[order], item[order]
+
+    @staticmethod
+    def _items_of(value: np.ndarray, place: np.ndarray, known: np.ndarray, item: np.ndarray) -> np.ndarray:
+        """Rows (place, item) for every value that is known."""
+        low, high = np.searchsorted(known, value, "left"), np.searchsorted(known, value, "right")
+        count = high - low
+        at = np.repeat(low, count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+        return np.unique(np.stack([np.repeat(place, count), item[at]], axis=1), axis=0) if len(at) else np.empty((0, 2), np.int64)
+
+    def candidates(self, shingles: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rows (piece, item) that share a band, and the pieces that repeat a shingle; pieces go from ``start`` to before ``end``."""
+        # Places beyond the end of a piece repeat its last shingle, which changes no minimum.
+        rows = shingles[np.minimum(start[:, None] + np.arange(PIECE), end[:, None] - 1)]
+        ordered = np.sort(rows, axis=1)
+        repeating = np.flatnonzero(1 + (ordered[:, 1:] != ordered[:, :-1]).sum(axis=1) < end - start)
+        need = bands_needed(end - start)
+        value, place = [], []
+        for band in range(need.max(initial=0)):
+            own = np.flatnonzero(need > band)
+            sign = _least(rows if len(own) == len(rows) else rows[own], band)
+            hit = self.seen[sign >> np.uint64(42)]
+            value.append(sign[hit]), place.append(own[hit])
+        return self._items_of(np.concatenate([np.empty(0, np.uint64), *value]), np.concatenate([np.empty(0, np.int64), *place]), self.sign, self.sign_item), repeating
+
+    def search(self, code: np.ndarray, bounds: np.ndarray) -> list[tuple[int, int, float]]:
+        """(text, item, containment) of the leaks; text n has the words from ``bounds[n]`` to before ``bounds[n + 1]``."""
+        shingles = _grams(code, SHINGLE)
+        counts = np.maximum(0, np.diff(bounds) - SHINGLE + 1)
+        pieces = np.where(counts >= WINDOW, (counts - WINDOW) // STEP + 1, 0)
+        text = np.repeat(np.arange(len(counts)), pieces)
+        start = bounds[text] + STEP * (np.arange(len(text)) - np.repeat(np.cumsum(pieces) - pieces, pieces))
+        end = np.minimum(start + PIECE, bounds[text] + counts[text])
+        found = [np.empty((0, 2), np.int64)]
+        for begin in range(0, len(text), SLICE):
+            part = slice(begin, begin + SLICE)
+            near, repeating = self.candidates(shingles, start[part], end[part])
+            # The exact check: a run of the candidate's words in the piece.
+            piece = np.union1d(near[:, 0], repeating)
+            first, size = start[part][piece], (end - start)[part][piece] - WINDOW + 1
+            at = np.repeat(first, size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+            exact = self._items_of(_grams_at(code, at, RUN), np.repeat(piece, size), self.run, self.run_item)
+            width = len(self.keys)
+            both = exact[:, 0] * width + exact[:, 1]
+            both = both[np.isin(both, near[:, 0] * width + near[:, 1]) | np.isin(exact[:, 0], repeating)]
+            found.append(np.stack([text[part][both // width], both % width], axis=1))
+        pairs = np.unique(np.concatenate(found), axis=0)
+        held = lambda n, i: np.isin(self.shingles[i], shingles[bounds[n] : bounds[n] + counts[n]]).mean()
+        return [(int(n), int(i), float(held(n, i))) for n, i in pairs]
+
+
+def _grams_at(code: np.ndarray, at: np.ndarray, size: int) -> np.ndarray:
+    total = np.zeros(len(at), np.uint64)
     for k in range(size):
-        mixed = mixed * _PRIME + code[k : k + count]
-    mixed ^= mixed >> np.uint64(31)
-    mixed *= np.uint64(0xBF58476D1CE4E5B9)
-    return mixed ^ mixed >> np.uint64(29)
-
-
-def _signed(code: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(owner, signature) of every window of ``RUN`` words, each once; windows never span two owners."""
-    if len(code) < RUN:
-        return owner[:0], code[:0]
-    shingles, context = _grams(code, SHINGLE), _grams(code, CONTEXT)
-    span = RUN - SHINGLE + 1
-    windows = len(code) - RUN + 1
-    least, place = shingles[:windows].copy(), np.arange(windows)
-    for k in range(1, span):
-        lower = shingles[k : k + windows] < least
-        least[lower] = shingles[k : k + windows][lower]
-        place[lower] = np.flatnonzero(lower) + k
-    extra = CONTEXT - SHINGLE
-    starts = np.where(place - np.arange(windows) >= extra, place - extra, place)
-    starts = np.unique(starts[owner[:windows] == owner[RUN - 1 :]])
-    pairs = np.unique(np.stack([owner[starts].astype(np.uint64), context[starts]], axis=1), axis=0)
-    return pairs[:, 0].astype(np.int64), pairs[:, 1]
-
-
-def window_signatures(texts: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
-    """(text number, signature) of the tokenised texts, in blocks of about ``BLOCK`` words."""
-    owners, found = [], []
-    codes: list[np.ndarray] = []
-    numbers: list[np.ndarray] = []
-
-    def flush() -> None:
-        if codes:
-            owner, signature = _signed(np.concatenate(codes), np.concatenate(numbers))
-            owners.append(owner), found.append(signature)
-            codes.clear(), numbers.clear()
-
-    filled = 0
-    for i, tokens in enumerate(texts):
-        for begin in range(0, max(1, len(tokens) - RUN + 1), BLOCK):
-            part = tokens[begin : begin + BLOCK + RUN - 1]
-            codes.append(_codes(part)), numbers.append(np.full(len(part), i))
-            filled += len(part)
-            if filled >= BLOCK:
-                flush()
-                filled = 0
-    flush()
-    return np.concatenate([*owners, np.empty(0, np.int64)]), np.concatenate([*found, np.empty(0, np.uint64)])
-
-
-def signatures(df: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, signature) of every text."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = total * _PRIME + code[at + k]
+    return _mixed(total)
+
+
+def _searched(documents: DataFrame, queries: Queries, doc_type: T.DataType, item_type: T.DataType) -> DataFrame:
+    schema = T.StructType([T.StructField("doc_id", doc_type), T.StructField("item_id", item_type), T.StructField("containment", T.DoubleType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            owner, signature = window_signatures([words(t) for t in batch["text"]])
-            yield pd.DataFrame({key: batch["key"].to_numpy()[owner], "signature": signature.view(np.int64)}).drop_duplicates()
+            listed = batch.column(1)
+            offsets = listed.offsets.to_numpy().astype(np.int64)
+            code = listed.values.to_numpy()[offsets[0] : offsets[-1]].view(np.uint64)
+            leaked = queries.search(code, offsets - offsets[0])
+            doc = batch.column(0).take(pa.array([n for n, _, _ in leaked], pa.int64()))
+            item = pa.array([queries.keys[i] for _, i, _ in leaked], type=_arrow(item_type))
+            yield pa.RecordBatch.from_arrays([doc, item, pa.array([c for _, _, c in leaked], pa.float64())], names=schema.names)
+
+    return documents.mapInArrow(run, schema)
+
+
+def _arrow(kind: T.DataType) -> pa.DataType:
+    from pyspark.sql.pandas.types import to_arrow_type
 
-    kind = df.schema[key].dataType.simpleString()
-    return df.where(F.col(text).isNotNull()).select(F.col(key).alias("key"), F.col(text).alias("text")).mapInPandas(run, f"{key} {kind}, signature long")
+    return to_arrow_type(kind)
 
 
-def _verified(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        out = []
-        for (doc, item), text, passage in zip(batch[["doc_id", "item_id"]].itertuples(index=False), batch["text"], batch["passage"], strict=True):
-            own, test = words(text), words(passage)
-            runs = {tuple(test[i : i + RUN]) for i in range(len(test) - RUN + 1)}
-            if not any(tuple(own[i : i + RUN]) in runs for i in range(len(own) - RUN + 1)):
-                continue
-            parts = {tuple(test[i : i + SHINGLE]) for i in range(len(test) - SHINGLE + 1)}
-            held = parts & {tuple(own[i : i + SHINGLE]) for i in range(len(own) - SHINGLE + 1)}
-            out.append((doc, item, len(held) / len(parts)))
-        yield pd.DataFrame(out, columns=["doc_id", "item_id", "containment"])
+def _blocks(items: DataFrame) -> Iterator[Queries]:
+    """The test items with a run of words, in blocks of bounded length."""
+    block, filled = [], 0
+    for row in items.where(F.size("words") >= RUN).toLocalIterator():
+        if block and filled + len(row.words) > QUERY_WORDS:
+            yield Queries(block)
+            block, filled = [], 0
+        block.append((row.item_id, np.array(row.words, np.int64).view(np.uint64)))
+        filled += len(row.words)
+    yield Queries(block)
 
 
 def leaks(documents: DataFrame, items: DataFrame) -> DataFrame:
@@ -143,12 +208,13 @@ def leaks(documents: DataFrame, items: DataFrame) -> DataFrame:
 
     ``containment`` is the share of the item's word shingles that the document holds.
     """
-    documents, items = documents.select("doc_id", "text"), items.select("item_id", F.col("text").alias("passage"))
-    marks = signatures(items, "item_id", "passage").distinct()
-    if marks.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
-        marks = F.broadcast(marks)
-    pairs = signatures(documents, "doc_id", "text").join(marks, "signature").select("doc_id", "item_id").distinct()
-    texts = pairs.join(documents, "doc_id").join(items, "item_id")
-    kinds = ", ".join(f"{c} {texts.schema[c].dataType.simpleString()}" for c in ("doc_id", "item_id"))
-    found = texts.select("doc_id", "item_id", "text", "passage").mapInPandas(_verified, f"{kinds}, containment double")
+    cut = documents.where(F.col("text").isNotNull()).select("doc_id", words(F.col("text")).alias("words"))
+    asked = items.where(F.col("text").isNotNull()).select("item_id", words(F.col("text")).alias("words"))
+    kinds = documents.schema["doc_id"].dataType, items.schema["item_id"].dataType
+    passes: list[DataFrame] = []
+    for queries in _blocks(asked):
+        # Another block: the last pass is done first, so that the driver holds one block at a time.
+        passes[-1:] = [written(p) for p in passes[-1:]]
+        passes.append(_searched(cut, queries, *kinds))
+    found = reduce(DataFrame.unionByName, passes)
     return found.groupBy("doc_id", "item_id").agg(F.max("containment").alias("containment"))

@@ -1,12 +1,20 @@
 """Problem 8 against a search for every run of words."""
 
 import random
+import re
 
-from loomset.llm.leakage import RUN, leaks, window_signatures, words
+import numpy as np
+
+from loomset.llm import leakage
+from loomset.llm.leakage import RUN, Queries, leaks
 
 VOCABULARY = [f"w{i}" for i in range(300)] + ["día", "Ärger", "7"]
 
 
+def words(text):
+    return re.findall(r"[^\W_]+", text.lower()) if text else []
+
+
 def brute(docs, items):
     found = set()
     for doc, text in docs:
@@ -44,15 +52,40 @@ def test_against_brute_force(spark):
     assert leaks(df, tests.limit(0)).count() == 0
 
 
-def test_blocks_lose_no_window(monkeypatch):
+def test_repeats_and_blocks(spark, monkeypatch):
+    """Texts that repeat few words, and test items in several passes."""
     random.seed(9)
-    texts = [[random.choice(VOCABULARY) for _ in range(n)] for n in (500, 3, 0, 12, 11, 90)]
+    few = lambda n: " ".join(random.choice(["so", "la", "ti"]) for _ in range(n))
+    items = [(i, few(random.choice([12, 14, 20]))) for i in range(30)] + [(80, "ha " * 12), (81, "ho " * 40)]
+    docs = [(i, few(random.choice([12, 60, 300]))) for i in range(40)] + [(90, "ha " * 500), (91, "ho " * 12), (92, "ho " * 11)]
+    monkeypatch.setattr(leakage, "QUERY_WORDS", 100)
+    got = leaks(spark.createDataFrame(docs, "doc_id string, text string"), spark.createDataFrame(items, "item_id int, text string"))
+    rows = got.collect()
+    assert {(int(r.doc_id), r.item_id) for r in rows} == brute(docs, items)
+    assert {r.containment for r in rows if r.doc_id == "90"} == {1.0}
+
+
+def test_bands_are_enough():
+    """The window of an item is found by its bands alone wherever it stands in a text of other words."""
+    rng = np.random.default_rng(3)
+    item = rng.integers(0, 1 << 63, 40, dtype=np.uint64)
+    queries = Queries([("a", item)])
+    missed = 0
+    for trial in range(600):
+        before, after = (rng.integers(0, 1 << 63, int(rng.integers(0, 40)), dtype=np.uint64) for _ in range(2))
+        begin = int(rng.integers(0, 40 - RUN + 1))
+        code = np.concatenate([before, item[begin : begin + RUN], after])
+        missed += queries.search(code, np.array([0, len(code)])) == []
+    assert missed == 0
+    assert queries.search(rng.integers(0, 1 << 63, 5000, dtype=np.uint64), np.array([0, 5000])) == []
 
-    def signed():
-        owner, signature = window_signatures(texts)
-        return {(int(o), int(s)) for o, s in zip(owner, signature)}
 
-    whole = signed()
-    assert {o for o, _ in whole} == {0, 3, 5}
-    monkeypatch.setattr("loomset.llm.leakage.BLOCK", 37)
-    assert signed() == whole
+def test_slices_lose_no_piece(monkeypatch):
+    rng = np.random.default_rng(4)
+    item = rng.integers(0, 1 << 63, 60, dtype=np.uint64)
+    texts = [np.concatenate([rng.integers(0, 1 << 63, n, dtype=np.uint64), item[k : k + RUN]]) for n, k in ((500, 3), (0, 0), (3, 48), (11, 20))] + [np.empty(0, np.uint64)]
+    bounds = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+    whole = Queries([("a", item)]).search(np.concatenate(texts), bounds)
+    assert [n for n, _, _ in whole] == [0, 1, 2, 3]
+    monkeypatch.setattr(leakage, "SLICE", 7)
+    assert Queries([("a", item)]).search(np.concatenate(texts), bounds) == whole
