@@ -23,8 +23,8 @@ Tables, quotations, set-off titles and sentences stay.
 
 Defined results: line numbers count from 1, blank lines included and never
 reported; null and empty pages give nothing; pages without a URL are put with
-the host of their first link, or their id's first word; pages whose id repeats
-give their lines once.
+the host of their first link, or their id's first word; of several texts under
+one id the least counts.
 """
 
 from __future__ import annotations
@@ -39,7 +39,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomset.llm.lookalike import consistent_text
-from loomset.session import checkpointed
+from loomset.session import written
 
 #: Pages before a page, in URL order, that it is compared with.
 NEIGHBOURS = 3
@@ -51,7 +51,6 @@ COMPARED = 4
 HOSTS = 3
 #: Pages and hosts on which a set-off line recurs.
 RECURS_PAGES, RECURS_HOSTS = 3, 2
-ENTRY_LENGTH = 90
 
 _MARK = r"^\s*(?:[-*+•]|\d+\.)\s+"
 _MARKED = r"^\s*(?:[-*+•]\s|\d+\.\s|\||>|\*\*)"
@@ -150,7 +149,8 @@ def page_lines(pages: DataFrame) -> DataFrame:
     """(document_id, host, path, line_no, line, core, block, title): lines of web pages that aren't blank."""
     web = pages.where((F.col("source_type") == "website") & (F.col("markdown") != ""))
     web = web.select("document_id", F.element_at("metadata", "url").alias("url"), "markdown")
-    web = consistent_text(web, "markdown", into="text", changed="odd").select("document_id", "url", "text")
+    web = consistent_text(web, "markdown", into="text", changed="odd")
+    web = web.groupBy("document_id").agg(F.min(F.struct("text", "url")).alias("page")).select("document_id", "page.*")
     linked = F.regexp_extract("text", r"https?://([^/\s)]+)", 1)
     host = F.coalesce(F.nullif(F.regexp_extract("url", r"^https?://([^/?#]+)", 1), F.lit("")), F.nullif(linked, F.lit("")), F.regexp_extract("document_id", r"^(\p{L}*)", 1))
     web = web.withColumn("host", F.lower(host)).withColumn("path", F.coalesce(F.regexp_extract("url", r"^https?://[^/]+(/.*)$", 1), F.lit("")))
@@ -171,10 +171,10 @@ def shared_lines(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     """((host, core) shared on a host, (core) shared over the hosts)."""
     pages = lines.groupBy("host", "path", "document_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "core"))), lambda x: x["core"]).alias("cores"))
     pages = pages.repartitionByRange("host", "path", "document_id").sortWithinPartitions("host", "path", "document_id")
-    ranges = checkpointed(pages.mapInPandas(_compare, _SEAM))
+    ranges = written(pages.mapInPandas(_compare, _SEAM))
     seams = ranges.where(F.col("cores").isNotNull()).repartition("host").sortWithinPartitions("host", "path", "document_id")
     counted = ranges.where(F.col("core").isNotNull()).select(*_COUNTS).unionByName(seams.mapInPandas(_compare_seams, "host string, core string, compared long, shared long"))
-    counted = checkpointed(counted.groupBy("host", "core").agg(F.sum("compared").alias("compared"), F.sum("shared").alias("shared")))
+    counted = written(counted.groupBy("host", "core").agg(F.sum("compared").alias("compared"), F.sum("shared").alias("shared")))
     total = counted.groupBy("core").agg(F.sum("compared").alias("all_compared"), F.sum("shared").alias("all_shared"), F.sum((F.col("shared") > 0).cast("int")).alias("hosts"))
     often = F.col("all_shared") >= SHARED_ANYWHERE * F.col("all_compared")
     own = counted.where((F.col("shared") > 0) & (F.col("shared") >= SHARED_ON_HOST * F.col("compared")))
@@ -183,35 +183,48 @@ def shared_lines(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     return local, wide
 
 
+def line_marks(lines: DataFrame, subject: DataFrame) -> DataFrame:
+    """(host, core, known, recurs): what the comparison says of a host's line, for lines of which it says something.
+
+    Worked out once for each distinct line of a host, whatever the number of its pages.
+    """
+    local, wide = (df.join(subject, "core", "left_anti") for df in shared_lines(lines))
+    local, wide = written(local), written(wide)
+    keys = written(lines.groupBy("host", "core").agg(F.countDistinct("document_id").alias("pages")))
+    recurring = keys.groupBy("core").agg(F.sum("pages").alias("pages"), F.count("*").alias("hosts")).where((F.col("pages") >= RECURS_PAGES) & (F.col("hosts") >= RECURS_HOSTS))
+    items = F.split("core", r"\s*[|/›»>]\s*|\s{2,}")
+    entries = wide.unionByName(local.select("core")).select(F.explode(items).alias("item")).select(F.trim("item").alias("item")).where(F.length("item") >= 2).distinct()
+    # Bread crumbs and menus in one line: the first or the last item.
+    ends = keys.where(F.size(items) >= 2).select("host", "core", F.explode(F.array(F.trim(items[0]), F.trim(F.element_at(items, -1)))).alias("item"))
+    known = local.unionByName(keys.join(wide, "core", "left_semi").select("host", "core")).unionByName(ends.join(entries, "item", "left_semi").select("host", "core"))
+    marks = known.select("host", "core", F.lit(True).alias("known"), F.lit(False).alias("recurs"))
+    marks = marks.unionByName(keys.join(recurring, "core", "left_semi").select("host", "core", F.lit(False).alias("known"), F.lit(True).alias("recurs")))
+    return marks.groupBy("host", "core").agg(F.max("known").alias("known"), F.max("recurs").alias("recurs"))
+
+
 def boilerplate_lines(pages: DataFrame) -> DataFrame:
     """(document_id, line_no) of the lines of web pages that aren't part of the main body."""
-    lines = checkpointed(page_lines(pages).distinct())
+    lines = written(page_lines(pages))
     other = pages.where((F.coalesce("source_type", F.lit("")) != "website") & F.col("markdown").isNotNull())
-    subject = other.select(F.explode(F.split("markdown", "\n")).alias("line")).where(F.col("line").rlike(r"^#+ ")).select(_core(F.col("line"), F.lit("")).alias("core")).distinct()
-    local, wide = shared_lines(lines)
-    local, wide = local.join(subject, "core", "left_anti").withColumn("on_host", F.lit(True)), wide.join(subject, "core", "left_anti").withColumn("anywhere", F.lit(True))
-    recurring = lines.groupBy("core", "host").agg(F.countDistinct("document_id").alias("pages")).groupBy("core").agg(F.sum("pages").alias("pages"), F.count("*").alias("hosts"))
-    recurring = recurring.where((F.col("pages") >= RECURS_PAGES) & (F.col("hosts") >= RECURS_HOSTS)).select("core", F.lit(True).alias("recurs"))
-    items = F.split("core", r"\s*[|/›»>]\s*|\s{2,}")
-    entries = wide.select("core").unionByName(local.select("core")).select(F.explode(items).alias("item")).select(F.trim("item").alias("item")).where(F.length("item").between(2, ENTRY_LENGTH)).distinct()
-    lines = lines.withColumn("first_item", F.when(F.size(items) >= 2, F.trim(items[0]))).withColumn("last_item", F.when(F.size(items) >= 2, F.trim(F.element_at(items, -1))))
-    rows = lines.join(local, ["host", "core"], "left").join(wide, "core", "left").join(recurring, "core", "left").join(entries.select(F.col("item").alias("first_item"), F.lit(True).alias("crumb")), "first_item", "left")
-    rows = rows.join(entries.select(F.col("item").alias("last_item"), F.lit(True).alias("menu")), "last_item", "left")
+    headings = other.select(F.explode(F.split("markdown", "\n")).alias("line")).where(F.col("line").rlike(r"^#+ ")).distinct()
+    headings = consistent_text(headings, "line", into="text", changed="odd")
+    subject = headings.select(_core(F.col("text"), F.lit("")).alias("core")).distinct()
+    rows = lines.join(line_marks(lines, subject), ["host", "core"], "left")
 
     marked, heading = F.col("line").rlike(_MARKED), F.col("line").rlike(r"^\s*#+ ")
     kept = F.col("title") | F.col("line").rlike(r"^\s*(?:\||>|\*\*)|^\s*(?:={3,}|-{3,})\s*$")
     sentence = F.col("line").rlike(r"[.!?…:;»”\"']\s*$")
-    known = ~kept & (F.coalesce("on_host", F.lit(False)) | F.coalesce("anywhere", F.lit(False)) | F.coalesce("crumb", F.lit(False)) | F.coalesce("menu", F.lit(False)))
+    known = ~kept & F.coalesce("known", F.lit(False))
     rows = rows.withColumn("known", known).withColumn("marked", marked).withColumn("heading", heading).withColumn("kept", kept).withColumn("sentence", sentence)
     block = Window.partitionBy("document_id", "block")
     order = block.orderBy("line_no")
     size, first = F.count("*").over(block), F.row_number().over(order) == 1
     leads = F.first(F.when(F.col("marked") | F.col("kept"), "list").when(F.col("heading"), "heading").otherwise("plain")).over(order)
-    brief = F.sum((F.length("core") <= ENTRY_LENGTH).cast("int")).over(block)
+    flows = F.sum(F.col("line").rlike(r"^\s*\p{Ll}").cast("int")).over(block)
     hits = F.sum(F.col("known").cast("int")).over(block)
     sentences = F.sum((F.col("sentence") & ~F.col("known")).cast("int")).over(block)
-    # A box or a block of short lines; wrapped prose has sentences in it.
-    loose = (size >= 2) & leads.isin("plain", "heading") & ((hits > 0) | (brief == size)) & ((sentences * 2 < size) | (hits * 2 >= size))
+    # A box or a block of entries; wrapped prose has sentences in it, and goes on in small letters.
+    loose = (size >= 2) & leads.isin("plain", "heading") & ((hits > 0) | (flows == 0)) & ((sentences * 2 < size) | (hits * 2 >= size))
     listed = (size >= 2) & (leads == "list") & (hits * 2 >= size)
     alone = (size == 1) & ~F.col("marked") & ~F.col("heading") & ~F.col("kept") & (~F.col("sentence") | F.col("core").contains("@")) & F.coalesce("recurs", F.lit(False))
     out = F.col("known") | ((loose | listed) & ~F.col("kept")) | alone
@@ -220,7 +233,7 @@ def boilerplate_lines(pages: DataFrame) -> DataFrame:
 
 def main_bodies(pages: DataFrame) -> DataFrame:
     """(document_id, body): the main body of every web page, lines in their order."""
-    web = pages.where((F.col("source_type") == "website") & F.col("markdown").isNotNull()).select("document_id", "markdown").dropDuplicates(["document_id"])
+    web = pages.where((F.col("source_type") == "website") & F.col("markdown").isNotNull()).groupBy("document_id").agg(F.min("markdown").alias("markdown"))
     gone = boilerplate_lines(pages).groupBy("document_id").agg(F.collect_set("line_no").alias("gone"))
     body = F.filter(F.transform(F.split("markdown", "\n"), lambda line, i: F.when(~F.array_contains(F.coalesce("gone", F.array().cast("array<int>")), (i + 1).cast("int")), line)), lambda x: x.isNotNull())
     return web.join(gone, "document_id", "left").select("document_id", F.regexp_replace(F.regexp_replace(F.array_join(body, "\n"), r"\n\s*\n(?:\s*\n)+", "\n\n"), r"^\s+|\s+$", "").alias("body"))

@@ -102,6 +102,33 @@ def test_ranges(spark):
             spark.conf.set(k, v)
 
 
+def test_any_partitioning(site, spark):
+    """The whole result on 1, 8 and 60 partitions."""
+    df, want = site
+    shuffle, adaptive = "spark.sql.shuffle.partitions", "spark.sql.adaptive.enabled"
+    before = {k: spark.conf.get(k) for k in (shuffle, adaptive)}
+    try:
+        spark.conf.set(adaptive, "false")
+        for n in (1, 8, 60):
+            spark.conf.set(shuffle, str(n))
+            got = found(df.repartition(n))
+            assert got == {k: v for k, v in want.items() if v}
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+def test_long_entries_and_wrapped_prose(spark):
+    """Entries of a menu may be long; prose that goes on over lines stays."""
+    rows = []
+    for i in range(6):
+        menu = [f"Help for the families of {TOPICS[i].lower()} " + "and of all the schools that we know " * 4, "All news"]
+        prose = [f"Learners draw {TOPICS[i].lower()} with a partner", f"at home and talk about {TOPICS[i - 1].lower()} they saw", f"on {TOPICS[i - 2].lower()} day."]
+        rows.append((f"oakby_{i}", "website", "\n".join([*menu, "", f"# {TOPICS[i]}", "", *prose]), {"url": f"https://oakby.example/units/{i}"}))
+    rows.append((rows[0][0], "website", rows[0][2] + "\nAll news", rows[0][3]))
+    assert found(spark.createDataFrame(rows, SCHEMA)) == {f"oakby_{i}": {1, 2} for i in range(6)}
+
+
 def test_empty(spark):
     assert boilerplate_lines(spark.createDataFrame([], SCHEMA)).count() == 0
 
