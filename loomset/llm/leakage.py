@@ -77,8 +77,8 @@ def _grams(code: np.ndarray, size: int) -> np.ndarray:
 
 
 def _least(shingles: np.ndarray, band: int) -> np.ndarray:
-    """The MinHash of every row of shingles under the permutation of a band."""
-    return ((shingles ^ _mixed(np.uint64([band + 1]))) * (_mixed(np.uint64([band + 101])) | np.uint64(1))).min(axis=1)
+    """The MinHash of every column of shingles under the permutation of a band."""
+    return ((shingles ^ _mixed(np.uint64([band + 1]))) * (_mixed(np.uint64([band + 101])) | np.uint64(1))).min(axis=0)
 
 
 def bands_needed(size: np.ndarray) -> np.ndarray:
@@ -97,7 +97,7 @@ class Queries:
         for number, (_, code) in enumerate(items):
             shingles, run = _grams(code, SHINGLE), np.unique(_grams(code, RUN))
             windows = np.lib.stride_tricks.sliding_window_view(shingles, WINDOW) if len(shingles) >= WINDOW else np.empty((0, WINDOW), np.uint64)
-            own = [np.unique(_least(windows, band)) for band in range(most)] if len(windows) else []
+            own = [np.unique(_least(windows.T, band)) for band in range(most)] if len(windows) else []
             signs += [(sign, number) for sign in own]
             runs.append((run, number))
         self.sign, self.sign_item = self._sorted(signs)
@@ -113,53 +113,57 @@ class Queries:
         order = np.argsort(value, kind="stable")
         return value[order], item[order]
 
-    @staticmethod
-    def _items_of(value: np.ndarray, place: np.ndarray, known: np.ndarray, item: np.ndarray) -> np.ndarray:
-        """Rows (place, item) for every value that is known."""
+    def _pairs(self, value: np.ndarray, place: np.ndarray, known: np.ndarray, item: np.ndarray) -> np.ndarray:
+        """place * items + item for every item that a value is known of."""
         low, high = np.searchsorted(known, value, "left"), np.searchsorted(known, value, "right")
         count = high - low
         at = np.repeat(low, count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-        return np.unique(np.stack([np.repeat(place, count), item[at]], axis=1), axis=0) if len(at) else np.empty((0, 2), np.int64)
+        return np.unique(np.repeat(place, count) * len(self.keys) + item[at])
 
-    def candidates(self, shingles: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Rows (piece, item) that share a band, and the pieces that repeat a shingle; pieces go from ``start`` to before ``end``."""
+    def bands(self, shingles: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The signatures of pieces that items share, the piece of each, and the pieces that repeat a shingle."""
         # Places beyond the end of a piece repeat its last shingle, which changes no minimum.
-        rows = shingles[np.minimum(start[:, None] + np.arange(PIECE), end[:, None] - 1)]
-        ordered = np.sort(rows, axis=1)
-        repeating = np.flatnonzero(1 + (ordered[:, 1:] != ordered[:, :-1]).sum(axis=1) < end - start)
+        rows = shingles[np.minimum(start + np.arange(PIECE)[:, None], end - 1)]
+        inside, same = np.arange(PIECE)[:, None] < end - start, np.zeros(len(start), bool)
+        for lag in range(1, PIECE):
+            same |= ((rows[lag:] == rows[:-lag]) & inside[lag:]).any(axis=0)
+        repeating = np.flatnonzero(same)
         need = bands_needed(end - start)
-        value, place = [], []
+        value, place = [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
         for band in range(need.max(initial=0)):
             own = np.flatnonzero(need > band)
-            sign = _least(rows if len(own) == len(rows) else rows[own], band)
-            hit = self.seen[sign >> np.uint64(42)]
+            sign = _least(rows if len(own) == len(start) else rows[:, own], band)
+            hit = np.flatnonzero(self.seen[sign >> np.uint64(42)])
+            hit = hit[self.sign[np.minimum(np.searchsorted(self.sign, sign[hit]), len(self.sign) - 1)] == sign[hit]]
             value.append(sign[hit]), place.append(own[hit])
-        return self._items_of(np.concatenate([np.empty(0, np.uint64), *value]), np.concatenate([np.empty(0, np.int64), *place]), self.sign, self.sign_item), repeating
+        return np.concatenate(value), np.concatenate(place), repeating
 
     def search(self, code: np.ndarray, bounds: np.ndarray) -> list[tuple[int, int, float]]:
         """(text, item, containment) of the leaks; text n has the words from ``bounds[n]`` to before ``bounds[n + 1]``."""
+        if not len(self.sign):
+            return []
+        width = len(self.keys)
         shingles = _grams(code, SHINGLE)
         counts = np.maximum(0, np.diff(bounds) - SHINGLE + 1)
         pieces = np.where(counts >= WINDOW, (counts - WINDOW) // STEP + 1, 0)
         text = np.repeat(np.arange(len(counts)), pieces)
         start = bounds[text] + STEP * (np.arange(len(text)) - np.repeat(np.cumsum(pieces) - pieces, pieces))
         end = np.minimum(start + PIECE, bounds[text] + counts[text])
-        found = [np.empty((0, 2), np.int64)]
+        found = [np.empty(0, np.int64)]
         for begin in range(0, len(text), SLICE):
             part = slice(begin, begin + SLICE)
-            near, repeating = self.candidates(shingles, start[part], end[part])
+            value, place, repeating = self.bands(shingles, start[part], end[part])
             # The exact check: a run of the candidate's words in the piece.
-            piece = np.union1d(near[:, 0], repeating)
+            piece = np.union1d(place, repeating)
             first, size = start[part][piece], (end - start)[part][piece] - WINDOW + 1
             at = np.repeat(first, size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
-            exact = self._items_of(_grams_at(code, at, RUN), np.repeat(piece, size), self.run, self.run_item)
-            width = len(self.keys)
-            both = exact[:, 0] * width + exact[:, 1]
-            both = both[np.isin(both, near[:, 0] * width + near[:, 1]) | np.isin(exact[:, 0], repeating)]
-            found.append(np.stack([text[part][both // width], both % width], axis=1))
-        pairs = np.unique(np.concatenate(found), axis=0)
-        held = lambda n, i: np.isin(self.shingles[i], shingles[bounds[n] : bounds[n] + counts[n]]).mean()
-        return [(int(n), int(i), float(held(n, i))) for n, i in pairs]
+            exact = self._pairs(_grams_at(code, at, RUN), np.repeat(piece, size), self.run, self.run_item)
+            held = np.isin(place, exact // width)
+            near = self._pairs(value[held], place[held], self.sign, self.sign_item)
+            both = exact[np.isin(exact, near) | np.isin(exact // width, repeating)]
+            found.append(text[part][both // width] * width + both % width)
+        share = lambda n, i: np.isin(self.shingles[i], shingles[bounds[n] : bounds[n] + counts[n]]).mean()
+        return [(int(n), int(i), float(share(n, i))) for n, i in (divmod(x, width) for x in np.unique(np.concatenate(found)))]
 
 
 def _grams_at(code: np.ndarray, at: np.ndarray, size: int) -> np.ndarray:

@@ -80,6 +80,13 @@ def test_bands_are_enough():
     assert queries.search(rng.integers(0, 1 << 63, 5000, dtype=np.uint64), np.array([0, 5000])) == []
 
 
+def test_short_pieces_that_repeat():
+    rng = np.random.default_rng(5)
+    for trial in range(300):
+        own = rng.choice(rng.integers(0, 1 << 63, 2, dtype=np.uint64), int(rng.integers(RUN, 21)))
+        assert [x[:2] for x in Queries([("a", own[:RUN])]).search(own, np.array([0, len(own)]))] == [(0, 0)]
+
+
 def test_slices_lose_no_piece(monkeypatch):
     rng = np.random.default_rng(4)
     item = rng.integers(0, 1 << 63, 60, dtype=np.uint64)
