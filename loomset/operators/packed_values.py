@@ -11,13 +11,20 @@ frequent each piece is as a value, and, for each kind of gap (delimiter and the
 kinds of atoms beside it), how often it lies inside a value rather than between
 two.  Forward-backward over each lattice gives the expected counts; a join on
 the piece brings the frequencies to the edges, so no vocabulary goes through
-the driver.  A Viterbi pass then chooses the likeliest split of each shape, and
-the rows are split at the same places.  Quoted spans are never cut.
+the driver.  All kinds of gaps start alike; what divides values and what belongs
+to them is learned.  A Viterbi pass then chooses the likeliest split of each
+shape, and the rows are split at the same places.  Quoted spans are never cut.
+
+Edges are all pieces of fewer than ``ORDER`` gaps, and the longer ones from one gap
+of a kind, or a stronger kind, to the next.  Any other long piece is taken for one
+not seen before: its cost is a sum over its gaps, so all of them go through one
+running state of the lattice.  So no piece is left out, and a string of any length
+takes time in proportion to it.
 
 Defined results: null, blank and single values give no rows; leading, trailing
 and doubled delimiters make no values; a range of whole numbers outside quotes
-stands for every number in it, if it rises and spans at most ``RANGE_WIDTH``
-numbers (anything else is a code or a number with a hyphen and stays whole).
+stands for every number in it, if it rises (a falling one stays whole, and so
+does one of more numbers than a position can count).
 """
 
 from __future__ import annotations
@@ -28,41 +35,46 @@ from collections import defaultdict
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomset.session import checkpointed
+from loomset.session import written
 
 ROUNDS = 3
+#: Ranges up to this width become arrays; wider ones are spread over rows.
 RANGE_WIDTH = 10_000
-#: Most gaps inside one value that the model considers, beside the whole string.
+#: Positions are 32-bit integers.
+WIDEST = (1 << 31) - 1
+#: Pieces of fewer gaps are all edges of their own.
 ORDER = 12
 SALT = 8
 #: Probability of a piece not seen before, and what every gap inside it costs.
-UNSEEN, UNSEEN_GAP = 1e-7, 1e-6
-#: Prior share of gaps that lie inside a value, and its weight in observations.
-PRIOR = {"pipe": 0.01, "semi": 0.01, "line": 0.01, "comma": 0.5, "slash": 0.5, "amp": 0.5, "and": 0.5, "space": 0.5}
-PRIOR_WEIGHT = 10.0
+UNSEEN, UNSEEN_GAP = math.log(1e-7), math.log(1e-6)
+#: Taken off every expected count, so that a piece nobody needs isn't learned by heart.
+DISCOUNT = 0.5
+#: Prior share of the gaps of any kind that lie inside a value, and its weight in observations.
+PRIOR, PRIOR_WEIGHT = 0.5, 10.0
 
 TOKEN = r'"(?:[^"]|"")*"|(?:[0-9]+|#)\s*(?:-|–|—|to)\s*(?:[0-9]+|#)|\s+|[,;|/&]|[^\s,;|/&"]+|"'
 _TOKEN = re.compile(TOKEN)
 _PLAIN = re.compile(r"[A-Za-z]|#(?:\s*(?:-|–|—|to)\s*#)?")
-EDGES = "field_name string, shape string, weight double, first int, last int, piece string, inside array<string>, between string"
+EDGES = "field_name string, shape_id long, weight double, first int, last int, piece string, gaps array<int>, begins array<int>, ends array<int>"
+#: The kinds of gaps by their sign, the strongest first, and the kinds of atoms beside one.
+SIGNS = {"pipe": "|", "semi": ";", "line": "\n", "comma": ",", "slash": "/", "amp": "&", "and": "and", "space": ""}
+ATOMS = "qnw"
+KINDS = len(SIGNS) * len(ATOMS) ** 2
 
 
 def _gap(text: str) -> str:
-    for kind, sign in (("pipe", "|"), ("semi", ";"), ("line", "\n"), ("comma", ","), ("slash", "/"), ("amp", "&"), ("and", "and")):
-        if sign in text:
-            return kind
-    return "space"
+    return next(kind for kind, sign in SIGNS.items() if sign in text)
 
 
 def _atom(text: str) -> str:
     return "q" if text[0] == '"' and len(text) > 1 else "n" if _PLAIN.fullmatch(text) else "w"
 
 
-def _lattice(shape: str) -> tuple[list[str], list[tuple[int, int, str]]]:
-    """Tokens of a shape and its segments' (first token, last token, kind of the gap behind)."""
+def _lattice(shape: str) -> tuple[list[str], list[tuple[int, int, int]]]:
+    """Tokens of a shape and its segments' (first token, last token, kind of the gap behind or -1)."""
     tokens = _TOKEN.findall(shape)
     is_gap = [bool(re.fullmatch(r"\s+|[,;|/&]", t)) for t in tokens]
     for i in range(1, len(tokens) - 1):
@@ -76,31 +88,35 @@ def _lattice(shape: str) -> tuple[list[str], list[tuple[int, int, str]]]:
             continue
         kind, left, right = _gap("".join(tokens[a + 1 : b])), _atom(tokens[a]), _atom(tokens[b])
         if kind != "space" or "w" not in (left, right):
-            parts.append((begin, a, f"{kind}/{left}{right}"))
+            parts.append((begin, a, (list(SIGNS).index(kind) * len(ATOMS) + ATOMS.index(left)) * len(ATOMS) + ATOMS.index(right)))
             begin = b
     if atoms:
-        parts.append((begin, atoms[-1], ""))
+        parts.append((begin, atoms[-1], -1))
     return tokens, parts
 
 
+def _long(gaps: list[int]) -> set[tuple[int, int]]:
+    """The longer spans from one gap of a kind or a stronger kind to the next such gap, the whole string among them."""
+    spans = set()
+    for strength in range(-1, len(SIGNS)):
+        ends = [k for k, gap in enumerate(gaps) if gap // len(ATOMS) ** 2 <= strength] + [len(gaps)]
+        spans |= {(a + 1, b) for a, b in zip([-1, *ends], ends, strict=False) if b - a > ORDER}
+    return spans
+
+
 def _edges(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         out = []
-        for field, shape, weight in batch[["field_name", "shape", "weight"]].itertuples(index=False):
+        for field, shape_id, shape, weight in batch[["field_name", "shape_id", "shape", "weight"]].itertuples(index=False):
             tokens, parts = _lattice(shape)
             n = len(parts)
-            for i in range(n):
-                for j in [*range(i, min(n, i + ORDER)), *([n - 1] if i == 0 and n > ORDER else [])]:
-                    piece = re.sub(r"\s+", " ", "".join(tokens[parts[i][0] : parts[j][1] + 1]))
-                    out.append((field, shape, weight, i, j, piece, [parts[k][2] for k in range(i, j)], parts[j][2]))
-        yield pd.DataFrame(out, columns=["field_name", "shape", "weight", "first", "last", "piece", "inside", "between"])
-
-
-def _score(field: str, edge, inside: dict[tuple[str, str], float]) -> float:
-    cost = max(math.log(edge["p"] or 1e-300), math.log(UNSEEN) + len(edge["inside"]) * math.log(UNSEEN_GAP))
-    for gap in edge["inside"]:
-        cost += math.log(inside[field, gap])
-    return cost + (math.log1p(-inside[field, edge["between"]]) if edge["between"] else 0.0)
+            # What belongs to the shape stands in its first edge only.
+            about = ([p[2] for p in parts[:-1]], [p[0] for p in parts], [p[1] for p in parts])
+            spans = {(i, j) for i in range(n) for j in range(i, min(n, i + ORDER))} | (_long(about[0]) if n > ORDER else set())
+            for i, j in sorted(spans):
+                piece = re.sub(r"\s+", " ", "".join(tokens[parts[i][0] : parts[j][1] + 1]))
+                out.append((field, shape_id, weight, i, j, piece, *(about if i == j == 0 else (None,) * 3)))
+        yield pd.DataFrame(out, columns=["field_name", "shape_id", "weight", "first", "last", "piece", "gaps", "begins", "ends"])
 
 
 def _plus(a: float, b: float) -> float:
@@ -108,50 +124,103 @@ def _plus(a: float, b: float) -> float:
     return top if top == -math.inf else top + math.log(math.exp(a - top) + math.exp(b - top))
 
 
-def _expected(inside: dict[tuple[str, str], float]):
+class _Scores:
+    """The log scores of a shape's edges: known pieces one by one, long unseen ones as a running sum."""
+
+    def __init__(self, firsts, lasts, shares, gaps, inside: list[float]) -> None:
+        self.n = n = len(gaps) + 1
+        # until[k]: the cost of the first k gaps, if they lie inside values.
+        self.until = [0.0]
+        for g in gaps:
+            self.until.append(self.until[-1] + math.log(inside[g]))
+        self.behind = [math.log1p(-inside[g]) for g in gaps] + [0.0]
+        self.edges = []
+        for e, (i, j, p) in enumerate(zip(firsts, lasts, shares, strict=True)):
+            s = max(math.log(p) if p > 0 else -math.inf, UNSEEN + (j - i) * UNSEEN_GAP) + self.until[j] - self.until[i] + self.behind[j]
+            self.edges.append((i, j, s, e))
+        self.edges.sort()
+        # The same for pieces that are unseen whatever they are.
+        self.enter = [-self.until[k] - k * UNSEEN_GAP for k in range(n)]
+        self.leave = [UNSEEN + self.until[k] + k * UNSEEN_GAP + self.behind[k] for k in range(n)]
+
+    def forward(self, plus) -> tuple[list[float], list[float]]:
+        """For every boundary the total before it, and over the entries of running pieces."""
+        ahead, running = [0.0] + [-math.inf] * self.n, [-math.inf] * self.n
+        at = 0
+        for i in range(self.n):
+            if i > ORDER - 1:
+                ahead[i + 1] = plus(ahead[i + 1], running[i - ORDER] + self.leave[i])
+            # Edges into boundary i come from earlier ones, so it is complete here.
+            running[i] = plus(running[i - 1] if i else -math.inf, ahead[i] + self.enter[i])
+            while at < len(self.edges) and self.edges[at][0] == i:
+                _, j, s, _ = self.edges[at]
+                ahead[j + 1] = plus(ahead[j + 1], ahead[i] + s)
+                at += 1
+        return ahead, running
+
+
+def _expected(inside: dict[str, list[float]]):
     """Forward-backward: expected counts of the pieces and of gaps inside and between values."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            mass: dict[tuple[str, str, str], float] = defaultdict(float)
-            for field, weight, edges in batch[["field_name", "weight", "edges"]].itertuples(index=False):
-                n = 1 + max(e["last"] for e in edges)
-                scored = sorted(((e["first"], e["last"] + 1, _score(field, e, inside), e) for e in edges), key=lambda x: x[:2])
-                ahead, back = [0.0] + [-math.inf] * n, [-math.inf] * n + [0.0]
-                for i, j, s, _ in scored:
-                    ahead[j] = _plus(ahead[j], ahead[i] + s)
-                for i, j, s, _ in reversed(scored):
-                    back[i] = _plus(back[i], back[j] + s)
-                for i, j, s, e in scored:
-                    share = weight * math.exp(ahead[i] + s + back[j] - ahead[n])
-                    mass[field, "piece", e["piece"]] += share
-                    for gap in e["inside"]:
-                        mass[field, "inside", gap] += share
-                    if e["between"]:
-                        mass[field, "between", e["between"]] += share
+            mass: dict[tuple[str, str, int], float] = defaultdict(float)
+            for field, weight, firsts, lasts, shares, pieces, gaps in batch[["field_name", "weight", "firsts", "lasts", "shares", "pieces", "gaps"]].itertuples(index=False):
+                x = _Scores(firsts, lasts, shares, gaps, inside[field])
+                n = x.n
+                ahead, entered = x.forward(_plus)
+                back, left = [-math.inf] * n + [0.0], [-math.inf] * n
+                at = len(x.edges)
+                for i in range(n - 1, -1, -1):
+                    while at and x.edges[at - 1][0] == i:
+                        at -= 1
+                        _, j, s, _ = x.edges[at]
+                        back[i] = _plus(back[i], back[j + 1] + s)
+                    if i + ORDER < n:
+                        back[i] = _plus(back[i], x.enter[i] + left[i + ORDER])
+                    left[i] = _plus(left[i + 1] if i + 1 < n else -math.inf, x.leave[i] + back[i + 1])
+                within = [0.0] * n  # expected values that go on behind each segment
+                for i, j, s, e in x.edges:
+                    share = weight * math.exp(ahead[i] + s + back[j + 1] - ahead[n])
+                    mass[field, "piece", int(pieces[e])] += share
+                    for k in range(i, j):
+                        within[k] += share
+                    if j < n - 1:
+                        mass[field, "between", int(gaps[j])] += share
+                running = 0.0
+                for k in range(n - 1):
+                    running += weight * math.exp(ahead[k] + x.enter[k] + left[k + ORDER] - ahead[n]) if k + ORDER < n else 0.0
+                    if k >= ORDER:
+                        ended = weight * math.exp(entered[k - ORDER] + x.leave[k] + back[k + 1] - ahead[n])
+                        running -= ended
+                        mass[field, "between", int(gaps[k])] += ended
+                    mass[field, "inside", int(gaps[k])] += within[k] + max(running, 0.0)
             yield pd.DataFrame([(*k, v) for k, v in mass.items()], columns=["field_name", "kind", "name", "mass"])
 
     return run
 
 
-def _best(inside: dict[tuple[str, str], float]):
+def _best(inside: dict[str, list[float]]):
     """Viterbi: (first token, last token) of each value of a shape."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
-            for field, shape, edges in batch[["field_name", "shape", "edges"]].itertuples(index=False):
-                _, parts = _lattice(shape)
-                best, via = [0.0] + [-math.inf] * len(parts), [0] * (len(parts) + 1)
-                for i, j, s in sorted((e["first"], e["last"] + 1, _score(field, e, inside)) for e in edges):
-                    if best[i] + s > best[j]:
-                        best[j], via[j] = best[i] + s, i
-                cuts, at = [], len(parts)
+            for field, shape_id, firsts, lasts, shares, gaps, begins, ends in batch[["field_name", "shape_id", "firsts", "lasts", "shares", "gaps", "begins", "ends"]].itertuples(index=False):
+                x = _Scores(firsts, lasts, shares, gaps, inside[field])
+                best, running = x.forward(max)
+                into = defaultdict(list)
+                for i, j, s, _ in x.edges:
+                    into[j + 1].append((i, s))
+                cuts, at = [], x.n
                 while at:
-                    cuts.append((parts[via[at]][0], parts[at - 1][1]))
-                    at = via[at]
-                out.append((field, shape, [list(c) for c in reversed(cuts)]))
-            yield pd.DataFrame(out, columns=["field_name", "shape", "cuts"])
+                    known = [i for i, s in into[at] if best[i] + s == best[at]]
+                    # None: a long piece, whose entry is the best of those that lie far enough before.
+                    i = known[0] if known else next(k for k in range(at - ORDER) if best[k] + x.enter[k] == running[at - 1 - ORDER])
+                    cuts.append([int(begins[i]), int(ends[at - 1])])
+                    at = i
+                out.append((field, shape_id, cuts[::-1]))
+            yield pd.DataFrame(out, columns=["field_name", "shape_id", "cuts"])
 
     return run
 
@@ -165,34 +234,44 @@ def shape_of(value: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(value, r'"(?:[^"]|"")*"', '"Q"'), r"[0-9]+", "#")
 
 
+def _shape_id() -> Column:
+    return F.xxhash64("field_name", "shape")
+
+
 def learned_cuts(strings: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """(field_name, shape, cuts) learned from all strings (field_name, value)."""
+    """(field_name, shape_id, cuts) learned from all strings (field_name, value)."""
     shapes = strings.groupBy("field_name", shape_of(F.col("value")).alias("shape")).agg(F.count("*").cast("double").alias("weight"))
-    edges = checkpointed(shapes.mapInPandas(_edges, EDGES))
-    on = ["field_name", "piece"]
-    wholes = edges.where(F.size("inside") == 0).where("between = '' and first = 0")
-    pieces = wholes.groupBy(on).agg(F.sum("weight").alias("mass"))
-    kinds = edges.where("between != ''").select("field_name", "between").distinct().collect()  # at most 72 kinds of gap a field
-    inside = {(r.field_name, r.between): PRIOR[r.between.split("/")[0]] for r in kinds}
+    edges = shapes.withColumn("shape_id", _shape_id()).mapInPandas(_edges, EDGES)
+    # Shapes and pieces are numbers from here on.
+    edges = written(edges.withColumn("piece", F.xxhash64("piece")))
+    about = edges.where("gaps is not null").select("field_name", "shape_id", "weight", "gaps", "begins", "ends")
+    # Strings without a gap are the first values known.
+    pieces = edges.where(F.size("gaps") == 0).groupBy("field_name", "piece").agg(F.sum("weight").alias("mass"))
+    fields = [r.field_name for r in about.select("field_name").distinct().collect()]
+    inside = {field: [PRIOR] * KINDS for field in fields}
 
     def lattices() -> DataFrame:
         total = {r.field_name: r.mass for r in pieces.groupBy("field_name").agg(F.sum("mass").alias("mass")).collect()}
-        share = F.coalesce(*[F.when(F.col("field_name") == f, F.col("mass") / F.lit(t)) for f, t in total.items()], F.lit(0.0))
-        known = edges.join(pieces.select(*on, share.alias("p")), on, "left").withColumn("p", F.coalesce("p", F.lit(0.0)))
-        edge = F.struct("first", "last", "piece", "p", "inside", "between")
-        return known.groupBy("field_name", "shape", "weight").agg(F.collect_list(edge).alias("edges"))
+        rest = F.greatest(F.col("mass") - DISCOUNT, F.lit(0.0))
+        share = F.coalesce(*[F.when(F.col("field_name") == f, rest / F.lit(t)) for f, t in total.items()], F.lit(0.0))
+        known = edges.join(pieces.select("field_name", "piece", share.alias("share")), ["field_name", "piece"], "left")
+        edge = F.struct("first", "last", "piece", F.coalesce("share", F.lit(0.0)).alias("share"))
+        grouped = known.groupBy("field_name", "shape_id").agg(F.max("weight").alias("weight"), F.max("gaps").alias("gaps"), F.max("begins").alias("begins"), F.max("ends").alias("ends"), F.collect_list(edge).alias("edges"))
+        columns = {name: F.col(f"edges.{one}") for name, one in (("firsts", "first"), ("lasts", "last"), ("shares", "share"), ("pieces", "piece"))}
+        return grouped.withColumns(columns).drop("edges")
 
     for _ in range(rounds):
-        mass = checkpointed(lattices().mapInPandas(_expected(inside), "field_name string, kind string, name string, mass double").groupBy("field_name", "kind", "name").agg(F.sum("mass").alias("mass")))
-        gaps: dict[tuple[str, str], dict[str, float]] = defaultdict(lambda: defaultdict(float))
-        for r in mass.where("kind != 'piece'").collect():  # again one row for each kind of gap
-            gaps[r.field_name, r.name][r.kind] += r.mass
-        for key, prior in ((k, PRIOR[k[1].split("/")[0]]) for k in inside):
-            seen = gaps[key]
-            share = (seen["inside"] + prior * PRIOR_WEIGHT) / (seen["inside"] + seen["between"] + PRIOR_WEIGHT)
-            inside[key] = min(max(share, 1e-6), 1 - 1e-6)
+        mass = written(lattices().mapInPandas(_expected(inside), "field_name string, kind string, name long, mass double").groupBy("field_name", "kind", "name").agg(F.sum("mass").alias("mass")))
+        seen: dict[tuple[str, str], dict[int, float]] = defaultdict(lambda: defaultdict(float))
+        for r in mass.where("kind != 'piece'").collect():  # at most two rows for each of the 72 kinds of gap of a field
+            seen[r.field_name, r.kind][r.name] += r.mass
+        for field in fields:
+            for gap in range(KINDS):
+                held, split = seen[field, "inside"][gap], seen[field, "between"][gap]
+                share = (held + PRIOR * PRIOR_WEIGHT) / (held + split + PRIOR_WEIGHT)
+                inside[field][gap] = min(max(share, 1e-6), 1 - 1e-6)
         pieces = mass.where("kind = 'piece'").select("field_name", F.col("name").alias("piece"), "mass")
-    return lattices().mapInPandas(_best(inside), "field_name string, shape string, cuts array<array<int>>")
+    return lattices().mapInPandas(_best(inside), "field_name string, shape_id long, cuts array<array<int>>")
 
 
 def split_values(rows: DataFrame, row_id: str, fields: list[str], rounds: int = ROUNDS) -> DataFrame:
@@ -202,19 +281,33 @@ def split_values(rows: DataFrame, row_id: str, fields: list[str], rounds: int =
     number = r"^\s*([0-9]{1,18})\s*(?:-|–|—|to)\s*([0-9]{1,18})\s*$"
     cuts = learned_cuts(strings.select("field_name", "value"), rounds)
     # Only shapes of several values, or of a range, have rows to give.
-    cuts = cuts.where((F.size("cuts") > 1) | F.col("shape").rlike(r"^\s*#\s*(?:-|–|—|to)\s*#\s*[,;|/&\s]*$"))
+    single_range = r"^\s*[0-9]+\s*(?:-|–|—|to)\s*[0-9]+\s*[,;|/&\s]*$"
     salted = cuts.select("*", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))).alias("salt"))
-    maybe = strings.where(F.col("value").rlike(r"[\s,;|/&–—-]")).withColumn("shape", shape_of(F.col("value"))).withColumn("salt", F.pmod(F.xxhash64("row_id"), F.lit(SALT)).cast("int"))
-    cut = maybe.join(salted, ["field_name", "shape", "salt"]).withColumn("tokens", F.regexp_extract_all("value", F.lit(TOKEN), F.lit(0)))
-    piece = lambda c: F.trim(F.array_join(F.slice("tokens", c[0] + 1, c[1] - c[0] + 1), ""))
+    maybe = strings.where(F.col("value").rlike(r"[\s,;|/&–—-]")).withColumn("shape", shape_of(F.col("value"))).withColumn("shape_id", _shape_id()).withColumn("salt", F.pmod(F.xxhash64("row_id"), F.lit(SALT)).cast("int"))
+    cut = maybe.drop("shape").join(salted, ["field_name", "shape_id", "salt"]).where((F.size("cuts") > 1) | F.col("value").rlike(single_range))
+    cut = cut.withColumn("tokens", F.regexp_extract_all("value", F.lit(TOKEN), F.lit(0)))
     unquoted = lambda p: F.trim(F.regexp_replace(F.regexp_extract(p, r'(?s)^"(.*)"$', 1), '""', '"'))
     unbracketed = lambda p: F.trim(F.regexp_replace(p, r"(?s)^(?:\[(.*)\]|\((.*)\)|\{(.*)\})$", "$1$2$3"))
-
-    def values(c: Column) -> Column:
-        p = piece(c)
-        low, high = F.regexp_extract(p, number, 1).cast("long"), F.regexp_extract(p, number, 2).cast("long")
-        spread = F.when(p.rlike(number), F.when((low <= high) & (high - low < RANGE_WIDTH), F.transform(F.sequence(low, high), lambda n: n.cast("string"))))
-        return F.coalesce(spread, F.array(F.when(p.rlike(r'(?s)^".*"$') & (F.length(p) > 1), unquoted(p)).otherwise(unbracketed(p))))
-
-    listed = cut.select("row_id", "field_name", F.filter(F.flatten(F.transform("cuts", values)), lambda v: v != "").alias("vals")).where(F.size("vals") > 1)
-    return listed.select("row_id", "field_name", F.posexplode("vals").alias("pos", "val")).withColumn("pos", (F.col("pos") + 1).cast("int"))
+    pieces = F.transform("cuts", lambda c: F.trim(F.array_join(F.slice("tokens", c[0] + 1, c[1] - c[0] + 1), "")))
+
+    def value(p: Column) -> Column:
+        low, high = (F.regexp_extract(p, number, g).try_cast("long") for g in (1, 2))
+        spread = p.rlike(number) & (low <= high) & (high - low < WIDEST)
+        text = F.when(p.rlike(r'(?s)^".*"$') & (F.length(p) > 1), unquoted(p)).otherwise(unbracketed(p))
+        return F.struct(text.alias("text"), F.when(spread, low).alias("low"), F.when(spread, high).alias("high"))
+
+    listed = cut.select("row_id", "field_name", F.filter(F.transform(pieces, value), lambda v: v["text"] != "").alias("vals"))
+    listed = listed.where((F.size("vals") > 1) | F.exists("vals", lambda v: v["low"] < v["high"]))
+    wide = F.exists("vals", lambda v: F.coalesce(v["high"] - v["low"] >= RANGE_WIDTH, F.lit(False)))
+    narrow = lambda v: F.when(v["low"].isNotNull() & (v["high"] - v["low"] < RANGE_WIDTH), F.transform(F.sequence(v["low"], v["high"]), lambda n: n.cast("string"))).otherwise(F.array(v["text"]))
+    few = listed.where(~wide).select("row_id", "field_name", F.posexplode(F.flatten(F.transform("vals", narrow))).alias("pos", "val")).withColumn("pos", (F.col("pos") + 1).cast("int"))
+    return few.unionByName(_spread(listed.where(wide)))
+
+
+def _spread(listed: DataFrame) -> DataFrame:
+    """Values with wide ranges among them: positions are summed up, and a range is exploded block by block."""
+    each = listed.select("row_id", "field_name", F.inline(F.transform("vals", lambda v, i: F.struct(i.alias("at"), v["text"].alias("text"), v["low"].alias("low"), F.coalesce(v["high"] - v["low"] + 1, F.lit(1)).alias("n")))))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("row_id", "field_name").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    blocks = each.withColumn("before", before).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(RANGE_WIDTH).cast("long"))))
+    rows = blocks.withColumn("k", F.explode(F.sequence("block", F.least(F.col("block") + RANGE_WIDTH, F.col("n")) - 1)))
+    return rows.select("row_id", "field_name", (F.col("before") + F.col("k") + 1).cast("int").alias("pos"), F.coalesce((F.col("low") + F.col("k")).cast("string"), F.col("text")).alias("val"))
