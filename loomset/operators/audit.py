@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomset.functions.text import filled
 from loomset.operators.codes import duplicate_codes
+from loomset.operators.numbering import numbered
 
 BATCH = 12
 FIX = r"^use '(.*)'$"
@@ -50,5 +51,4 @@ def merged_fixes(rows: DataFrame, findings: DataFrame, number: str, columns: lis
 
 def review_batches(rows: DataFrame, number: str, source: str, size: int = BATCH) -> DataFrame:
     """(number, source, batch): the rows of a source in order, ``size`` to a batch."""
-    n = F.row_number().over(Window.partitionBy(source).orderBy(number)) - 1
-    return rows.select(number, source, F.floor(n / size).cast("long").alias("batch"))
+    return numbered(rows.select(number, source), source, number, "n", 0).select(number, source, F.floor(F.col("n") / size).cast("long").alias("batch"))

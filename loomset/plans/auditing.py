@@ -60,11 +60,7 @@ def latest_state(spark: SparkSession, folder: str) -> DataFrame:
 
 def pending_files(spark: SparkSession, folder: str) -> DataFrame:
     files = table(spark, folder, "parsed_documents").select(F.col("source_path").alias("path"), F.sha2("markdown", 256).alias("fingerprint"))
-    state = table(spark, folder, "processing_state")
-    # The state knows the files as they were read; a shorter text stands for a changed one.
-    known = processing.latest_state(state.distinct()).select("path", F.col("fingerprint").alias("seen"))
-    same = files.join(known, "path", "left").select("path", F.coalesce("seen", "fingerprint").alias("fingerprint"))
-    return processing.pending(same, state.distinct(), SIGNATURE)
+    return processing.pending(files, table(spark, folder, "processing_state").distinct(), SIGNATURE)
 
 
 def retry_errors(spark: SparkSession, folder: str) -> DataFrame:
@@ -164,8 +160,8 @@ ORACLES = {
     "row_summary": "SELECT batch_id, count(*) AS n_rows, count(DISTINCT coalesce(nullif(trim(source, ' '), ''), nullif(trim(source_document, ' '), ''))) AS sources, sum((coalesce(review_status, '') <> '')::INT)::BIGINT AS flagged, max(ingested_at) AS last_ingested FROM extracted_rows GROUP BY batch_id",
     "clean_projection": f"SELECT row_id, {', '.join(f'coalesce({c}, {chr(39)}{chr(39)}) AS {c}' for c in ['source', *FIXED, 'review_status', 'review_issues'])} FROM extracted_rows",
     "latest_state": f"WITH {_LAST} SELECT path, attempts, processed_at_utc, status, coalesce(array_to_string(errors, ' | '), '') AS errors FROM last",
-    "pending_files": f"""WITH {_LAST} SELECT source_path AS path, coalesce(l.fingerprint, sha256(markdown)) AS fingerprint, status FROM parsed_documents d LEFT JOIN last l ON d.source_path = l.path
-        WHERE NOT coalesce(l.path IS NOT NULL AND l.fingerprint IS NOT NULL AND (status IN ('verified', 'processed', 'manual_review') OR (status = 'pending_retry' AND config_signature IS NOT DISTINCT FROM '{SIGNATURE}')), false)""",
+    "pending_files": f"""WITH {_LAST} SELECT source_path AS path, sha256(markdown) AS fingerprint, status FROM parsed_documents d LEFT JOIN last l ON d.source_path = l.path
+        WHERE NOT coalesce(l.fingerprint = sha256(markdown) AND (status IN ('verified', 'processed', 'manual_review') OR (status = 'pending_retry' AND config_signature IS NOT DISTINCT FROM '{SIGNATURE}')), false)""",
     "retry_errors": "SELECT error, status, count(*) AS entries, count(DISTINCT path) AS paths FROM (SELECT path, status, unnest(errors) AS error FROM (SELECT DISTINCT * FROM processing_state)) GROUP BY ALL",
     "draft_audit": f"""WITH r AS (SELECT batch_id, {sql_strip('description')} AS d, {sql_strip('l4')} AS l4, {sql_strip('topic')} AS t, {sql_strip('display_standard_code')} AS c, coalesce(contains(source, 'sample_row='), false) AS m FROM extracted_rows),
         p AS (SELECT batch_id, count(*) AS n, count(*) FILTER (d = '') AS no_description, count(*) FILTER (l4 <> '') AS l4_filled, count(*) FILTER (regexp_matches(t, '(?i)^cluster\\s+\\d+(\\.\\d+)*$')) AS generic_topic,

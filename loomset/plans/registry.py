@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomset.plans import auditing, coding, documents, packed, quality
+from loomset.plans import auditing, coding, delivery, documents, packed, quality
 
-MODULES = (packed, quality, coding, documents, auditing)
+MODULES = (packed, quality, coding, documents, auditing, delivery)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
