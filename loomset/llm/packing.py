@@ -33,7 +33,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomset.session import checkpointed
+from loomset.session import written
 
 CAPACITY = 2048
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -85,7 +85,9 @@ def _matched(hosts: DataFrame, guests: DataFrame) -> DataFrame:
     steps = hosts.select(F.col("bin").alias("item"), F.lit(0).alias("part"), F.col("room").alias("size"), F.floor(F.col("room") / STEP).alias("step"))
     want = guests.withColumn("step", F.ceil(F.col("size") / STEP))
     # Both sides of a step are dealt into the same lanes, so that numbers can meet.
-    lanes = steps.groupBy("step").agg(F.ceil(F.count("*") / LANE_ROWS).alias("lanes"))
+    # The larger side of a step says how many lanes it needs.
+    both = steps.select("step", F.lit(1).alias("host")).unionByName(want.select("step", F.lit(0).alias("host")))
+    lanes = both.groupBy("step").agg(F.greatest(F.sum("host"), F.count("*") - F.sum("host")).alias("n")).select("step", F.ceil(F.col("n") / LANE_ROWS).alias("lanes"))
 
     def deal(df: DataFrame) -> DataFrame:
         dealt = df.join(lanes, "step").withColumn("lane", F.pmod(F.xxhash64("item", "part"), F.col("lanes"))).drop("lanes")
@@ -114,14 +116,14 @@ def pack(sizes: DataFrame, key: str, capacity: int = CAPACITY, topped: tuple[int
     last = F.ceil(F.col("size") / capacity) - 1
     cut = whole.select("item", F.col("size").alias("total"), F.explode(F.sequence(F.lit(0), last.cast("int"))).alias("part"))
     parts = cut.select("item", "part", F.least(F.lit(capacity), F.col("total") - F.col("part") * capacity).alias("size"))
-    rest = checkpointed(parts.withColumn("class", F.least(F.lit(LAST), F.floor(F.lit(capacity) / F.col("size"))).cast("int")))
+    rest = written(parts.withColumn("class", F.least(F.lit(LAST), F.floor(F.lit(capacity) / F.col("size"))).cast("int")))
     placed = []
     for number in topped:
-        own = checkpointed(_by_count(rest.where(F.col("class") == number)))
+        own = written(_by_count(rest.where(F.col("class") == number)))
         rest = rest.where(F.col("class") > number)
         hosts = own.groupBy("bin").agg((F.lit(capacity) - F.sum("size")).alias("room")).where("room > 0")
-        taken = checkpointed(_matched(hosts, rest))
-        rest = checkpointed(rest.join(taken, ["item", "part"], "left_anti"))
+        taken = written(_matched(hosts, rest))
+        rest = written(rest.join(taken, ["item", "part"], "left_anti"))
         placed += [own, taken]
     placed.append(_by_count(rest))
     out = placed[0]

@@ -22,8 +22,8 @@ edge lines and blank lines.  Counts of the whole corpus decide between the
 joined word, the compound with its hyphen, and no cut at all.
 
 Defined results: documents of other source types give no rows; null, empty and
-one-line texts give what their lines show; a document whose id repeats gives
-its rows once; numbers are never words.
+one-line texts give what their lines show; of several texts under one id the
+least counts; numbers are never words.
 """
 
 from __future__ import annotations
@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomset.llm.lookalike import consistent_text
-from loomset.session import checkpointed
+from loomset.session import written
 
 #: What scanners read for what was printed.
 CONFUSIONS = [
@@ -69,7 +69,9 @@ def _skeleton(text: Column) -> Column:
 def document_lines(documents: DataFrame) -> DataFrame:
     """(document_id, line_no, line, scanned, title): the lines of every document, in consistent characters."""
     whole = documents.where(F.col("markdown").isNotNull()).select("document_id", F.coalesce("source_type", F.lit("")).alias("source_type"), "markdown")
-    whole = consistent_text(whole, "markdown", into="text", changed="odd").drop("odd", "markdown")
+    whole = consistent_text(whole, "markdown", into="text", changed="odd")
+    # Of several texts under one id the least counts.
+    whole = whole.groupBy("document_id").agg(F.min(F.struct("text", "source_type")).alias("d")).select("document_id", "d.*")
     title = F.regexp_extract("text", r"^\s*#+ *([^\n]*)", 1)
     rows = whole.select("document_id", (F.col("source_type") == "pdf").alias("scanned"), title.alias("title"), F.posexplode(F.split("text", "\n")).alias("at", "line"))
     return rows.select("document_id", (F.col("at") + 1).cast("int").alias("line_no"), "line", "scanned", "title")
@@ -121,8 +123,10 @@ def edge_lines(lines: DataFrame) -> DataFrame:
     at_edge = by_pattern.where(F.col("edges") >= HEADER_EDGE * F.col("n"))
     corpus = at_edge.where(F.col("docs") >= HEADER_DOCS).select("pattern", F.lit(True).alias("known"))
     # Known over the corpus with title words, or repeated through one document at its edges.
-    rows = rows.join(corpus, "pattern", "left")
-    times = Window.partitionBy("document_id", "pattern")
+    # Most lines are no candidates; they are spread over their documents instead of meeting in one null.
+    spread = F.coalesce(F.nullif("pattern", F.lit("")), F.concat(F.lit("\u0000"), "document_id"))
+    rows = rows.withColumn("key", spread).join(corpus.withColumnRenamed("pattern", "key"), "key", "left")
+    times = Window.partitionBy("document_id", "key")
     repeated = (F.count("*").over(times) >= 3) & (F.sum(F.col("edge").cast("int")).over(times) >= 0.8 * F.count("*").over(times))
     repeated |= (F.count("*").over(times) >= 2) & (F.sum(F.col("edge").cast("int")).over(times) == F.count("*").over(times)) & F.col("named")
     running = F.coalesce(F.col("tokens").isNotNull() & (F.col("pattern") != "") & ((F.col("known") & F.col("named")) | repeated), F.lit(False))
@@ -160,8 +164,8 @@ def _tokens(line: Column) -> Column:
 
 def _noise(documents: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """(lines with their kind, text lines, misread words, cut words)."""
-    lines = checkpointed(document_lines(documents).distinct())
-    kinds = checkpointed(edge_lines(lines))
+    lines = written(document_lines(documents))
+    kinds = written(edge_lines(lines))
     order = Window.partitionBy("document_id").orderBy("line_no")
     text = kinds.where("kind = 'text'").withColumn("next_line", F.lead("line").over(order)).withColumn("last_line", F.lag("line").over(order))
     hyphen = r"\p{L}-\s*$"
@@ -173,8 +177,8 @@ def _noise(documents: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataF
     clean = lines.where(~F.col("scanned")).select(F.explode(_tokens(F.col("line"))).alias("word"))
     counted = scans.groupBy("word").agg(F.count("*").alias("scans")).withColumn("clean", F.lit(0).cast("long"))
     counted = counted.unionByName(clean.groupBy("word").agg(F.count("*").alias("clean")).withColumn("scans", F.lit(0).cast("long")))
-    vocabulary = checkpointed(counted.groupBy("word").agg(F.sum("clean").alias("clean"), F.sum("scans").alias("scans")))
-    right = checkpointed(corrections(vocabulary))
+    vocabulary = written(counted.groupBy("word").agg(F.sum("clean").alias("clean"), F.sum("scans").alias("scans")))
+    right = written(corrections(vocabulary))
     misread = scans.distinct().join(right, "word").select("document_id", "line_no", "word", "repaired")
 
     left, follow = F.element_at("tokens", -1), F.element_at(_tokens(F.col("next_line")), 1)
