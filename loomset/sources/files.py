@@ -41,9 +41,10 @@ def referenced_urls(files: DataFrame) -> DataFrame:
 def csv_rows(spark: SparkSession, path: str) -> DataFrame:
     """A CSV with doubled quotes, line breaks in cells and perhaps a byte-order mark; blanks as ''; ``line_no`` from 2."""
     rows = spark.read.csv(path, header=True, multiLine=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
-    filled = rows.select(*[F.coalesce(F.col(f"`{c}`"), F.lit("")).alias(c) for c in rows.columns], F.monotonically_increasing_id().alias("place"))
-    # Places rise in file order but leave gaps between tasks; a file is one task here, as its cells may hold line breaks.
-    return filled.withColumn("line_no", F.col("place") + 2).drop("place")
+    filled = rows.select(*[F.coalesce(F.col(f"`{c}`"), F.lit("")).alias(c) for c in rows.columns], F.col("_metadata.file_path").alias("file of"), F.monotonically_increasing_id().alias("place"))
+    # Cells may hold line breaks, so a file is read by one task, in order; each file is numbered by itself.
+    placed = filled.groupBy("file of").agg(F.min("place").alias("first of"))
+    return filled.join(placed, "file of").withColumn("line_no", F.col("place") - F.col("first of") + 2).drop("file of", "place", "first of")
 
 
 def write_csv(rows: DataFrame, path: str) -> None:

@@ -2,6 +2,7 @@
 
 import io
 import os
+import time
 import zipfile
 
 from pyspark.sql import functions as F
@@ -54,6 +55,13 @@ def test_csv_round_trip(spark, tmp_path):
     assert [r.line_no for r in got.orderBy("line_no").collect()] == [2, 3, 4]
 
 
+def test_csv_lines_of_several_files(spark, tmp_path):
+    for name, n in (("a", 3), ("b", 5)):
+        (tmp_path / f"{name}.csv").write_text("k,v\n" + "".join(f'{name}{i},"x\n{i}"\n' for i in range(n)))
+    got = {r.k: r.line_no for r in csv_rows(spark, str(tmp_path)).collect()}
+    assert got == {f"{name}{i}": i + 2 for name, n in (("a", 3), ("b", 5)) for i in range(n)}
+
+
 def test_html_links(spark):
     html = '<p><a class="x" href="/a.pdf">The <b>plan</b></a> <A HREF=\'https://b.example\'>B\n b</A><a name="n">none</a></p>'
     got = spark.createDataFrame([(html,), (None,), ("",)], "h string").select(html_links(F.col("h")).alias("l")).collect()
@@ -132,3 +140,20 @@ def test_watch_processes_each_content_once(spark, tmp_path):
     turn(fresh="3")
     turn("other", fresh="4")  # a new configuration: the retry is due
     assert [r for r in runs if r] == [["a.txt", "bad.txt"], ["a.txt"], ["bad.txt"]]
+
+
+def test_watch_polls_until_stopped(spark, tmp_path):
+    inbox, state = str(tmp_path / "inbox"), str(tmp_path / "state")
+    os.makedirs(inbox)
+    done = lambda df: df.select("path", F.lit("verified").alias("status"), F.array().cast("array<string>").alias("errors"))
+    query = watch(spark, inbox, state, str(tmp_path / "checkpoint"), done, every="1 second")
+    try:
+        for name in ("a.txt", "b.txt"):  # the second comes while the stream runs
+            (tmp_path / "inbox" / name).write_text(name)
+            deadline = time.time() + 60
+            while time.time() < deadline and not (os.path.isdir(state) and spark.read.parquet(state).where(F.col("path").endswith(name)).count()):
+                time.sleep(1)
+            assert spark.read.parquet(state).where(F.col("path").endswith(name)).count() == 1
+        assert query.isActive
+    finally:
+        query.stop()
