@@ -38,6 +38,19 @@ def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     return formatting_copies.formatting_copies(rows, "row_id", "description", ["source_document"]).select("first_row_id", "row_id")
 
 
+def p5_records(spark: SparkSession, folder: str) -> DataFrame:
+    """Every record once, with the number of its copies."""
+    rows = _table(spark, folder, "extracted_rows").select("row_id", "source_document", "description")
+    return formatting_copies.records(rows, "row_id", "description", ["source_document"])
+
+
+def p6_repaired(spark: SparkSession, folder: str) -> DataFrame:
+    """The consistent form of every description and text that isn't in it."""
+    rows = lookalike.consistent_text(_table(spark, folder, "extracted_rows").select(F.col("row_id").cast("string").alias("record_id"), F.col("description").alias("text")), "text")
+    pages = lookalike.consistent_text(_table(spark, folder, "parsed_documents").select(F.col("document_id").alias("record_id"), F.col("markdown").alias("text")), "text")
+    return rows.withColumn("field_name", F.lit("description")).unionByName(pages.withColumn("field_name", F.lit("markdown"))).where("changed").select("field_name", "record_id", "consistent").distinct()
+
+
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
     rows = lookalike.inconsistent_records(_table(spark, folder, "extracted_rows"), "description", "description", "row_id")
     pages = lookalike.inconsistent_records(_table(spark, folder, "parsed_documents"), "markdown", "markdown", "document_id")
@@ -64,5 +77,5 @@ def p9_found(spark: SparkSession, folder: str) -> DataFrame:
     return residue.residue(_table(spark, folder, "documents")).select("doc_id")
 
 
-QUERIES = {"p1_found": p1_found, "p1_repaired": p1_repaired, "p2_found": p2_found, "p4_found": p4_found, "p4_bodies": p4_bodies, "p5_found": p5_found, "p6_found": p6_found, "p7_pack": p7_pack, "p8_found": p8_found, "p8_containment": p8_containment, "p9_found": p9_found}
+QUERIES = {"p1_found": p1_found, "p1_repaired": p1_repaired, "p2_found": p2_found, "p4_found": p4_found, "p4_bodies": p4_bodies, "p5_found": p5_found, "p5_records": p5_records, "p6_found": p6_found, "p6_repaired": p6_repaired, "p7_pack": p7_pack, "p8_found": p8_found, "p8_containment": p8_containment, "p9_found": p9_found}
 ORACLES: dict[str, str] = oracle_sql.ORACLES

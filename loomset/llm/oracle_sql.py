@@ -20,7 +20,7 @@ P5 = r"""
 WITH r AS (SELECT row_id, replace(lower(description), 'ß', 'ss') AS d, coalesce(source_document, '') AS s FROM extracted_rows WHERE regexp_matches(description, '[^\s\x{0B}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]')),
 o AS (SELECT regexp_extract(d, '^[^\p{L}\p{N}]*(\p{L}+[ \t]*(?::|[ \t][-–]|–)?)', 1) AS o FROM (SELECT DISTINCT replace(lower(description), 'ß', 'ss') AS d, description FROM extracted_rows WHERE description IS NOT NULL)),
 n AS (SELECT regexp_extract(o, '^\p{L}+') AS word, count(*) AS n, sum(regexp_matches(o, '[:–-]$')::INT) AS named FROM o WHERE o <> '' GROUP BY 1),
-labels AS (SELECT string_agg(word, '|' ORDER BY word) AS p FROM n WHERE named >= greatest(2, 0.0002 * (SELECT count(DISTINCT description) FROM extracted_rows)) AND named >= 0.2 * n AND named > 0),
+labels AS (SELECT string_agg(word, '|' ORDER BY word) AS p FROM n WHERE named >= 2 AND named >= 0.2 * n),
 m AS (SELECT row_id, s, d, p, regexp_matches(d, '^[^\p{L}\p{N}]*(' || p || ')([^\p{L}\p{N}]|$)') AS labelled FROM r, labels),
 x AS (SELECT row_id, s, CASE WHEN labelled THEN
     regexp_replace(regexp_replace(regexp_replace(d, '(^[^\p{L}\p{N}]*|[;|/.•][^\p{L}\p{N}]*)(' || p || ')([^\p{L}\p{N}])', chr(1) || '\2\3', 'g'),
@@ -65,4 +65,6 @@ made AS (SELECT doc_id FROM (SELECT doc_id, template, len(ws) AS size, unnest(ws
 SELECT doc_id FROM j WHERE direct UNION SELECT doc_id FROM p JOIN answers USING (template) UNION SELECT doc_id FROM w WHERE len(ws) >= 4 AND len(list_distinct(ws)) * 2 <= len(ws) UNION SELECT doc_id FROM made
 """
 
-ORACLES = {"p8_found": P8, "p5_found": P5, "p9_found": P9}
+P5_RECORDS = P5[: P5.index("g AS (SELECT row_id")].rstrip().rstrip(",") + " SELECT min(row_id) AS first_row_id, count(*) AS copies FROM k GROUP BY s, t"
+
+ORACLES = {"p8_found": P8, "p5_found": P5, "p5_records": P5_RECORDS, "p9_found": P9}
