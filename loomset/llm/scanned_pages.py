@@ -66,15 +66,22 @@ def _skeleton(text: Column) -> Column:
     return text
 
 
+def _pattern_words(text: Column) -> Column:
+    return F.regexp_extract_all(_skeleton(text), F.lit(r"([\p{L}\p{N}#]+)"), F.lit(1))
+
+
 def document_lines(documents: DataFrame) -> DataFrame:
-    """(document_id, line_no, line, scanned, title): the lines of every document, in consistent characters."""
+    """(document_id, line_no, line, scanned, names): the lines of every document, in consistent characters."""
     whole = documents.where(F.col("markdown").isNotNull()).select("document_id", F.coalesce("source_type", F.lit("")).alias("source_type"), "markdown")
     whole = consistent_text(whole, "markdown", into="text", changed="odd")
     # Of several texts under one id the least counts.
     whole = whole.groupBy("document_id").agg(F.min(F.struct("text", "source_type")).alias("d")).select("document_id", "d.*")
-    title = F.regexp_extract("text", r"^\s*#+ *([^\n]*)", 1)
-    rows = whole.select("document_id", (F.col("source_type") == "pdf").alias("scanned"), title.alias("title"), F.posexplode(F.split("text", "\n")).alias("at", "line"))
-    return rows.select("document_id", (F.col("at") + 1).cast("int").alias("line_no"), "line", "scanned", "title")
+    # The words of the title are taken once a document, before it becomes a row for each line.
+    scanned = F.col("source_type") == "pdf"
+    names = F.when(scanned, _pattern_words(F.regexp_extract("text", r"^\s*#+ *([^\n]*)", 1)))
+    whole = whole.select("document_id", scanned.alias("scanned"), names.alias("names"), F.split("text", "\n").alias("lines"))
+    rows = whole.select("document_id", "scanned", "names", F.posexplode("lines").alias("at", "line"))
+    return rows.select("document_id", (F.col("at") + 1).cast("int").alias("line_no"), "line", "scanned", "names")
 
 
 def edge_lines(lines: DataFrame) -> DataFrame:
@@ -107,15 +114,15 @@ def edge_lines(lines: DataFrame) -> DataFrame:
     rows = rows.withColumn("is_page", F.col("is_page") & ~(F.col("bare") & F.col("styled")))
     beside = F.coalesce(F.lag("is_page").over(order), F.lit(False)) | F.coalesce(F.lead("is_page").over(order), F.lit(False))
     beside |= F.coalesce(F.lag("is_page", 2).over(order), F.lit(False)) | F.coalesce(F.lead("is_page", 2).over(order), F.lit(False))
-    tokens = lambda text: F.regexp_extract_all(_skeleton(text), F.lit(r"([\p{L}\p{N}#]+)"), F.lit(1))
-    rows = rows.withColumn("beside", beside).withColumn("names", tokens(F.col("title")))
+    rows = rows.withColumn("beside", beside)
     plausible = (F.length(F.trim("line")) <= HEADER_LENGTH) & F.col("line").rlike(r"^\s*[\p{Lu}\p{N}]") & ~F.col("line").rlike(r"[.,;:]\s*$") & ~F.col("is_page")
-    rows = rows.withColumn("tokens", F.when(plausible, tokens(F.col("line"))))
+    rows = rows.withColumn("tokens", F.when(plausible, _pattern_words(F.col("line"))))
     own_number = F.element_at("tokens", 1).eqNullSafe("#") | F.try_element_at("tokens", F.lit(-1)).eqNullSafe("#") & F.col("line").rlike(r"\s{2,}\S+\s*$")
     # Title words of a line that has a long one become one star.
-    words = F.filter("tokens", lambda t: t != "#")
-    has_name = F.exists(words, lambda t: (F.length(t) > 3) & F.array_contains("names", t))
-    masked = F.array_join(F.transform(words, lambda t: F.when(has_name & F.array_contains("names", t), "*").otherwise(t)), " ")
+    rows = rows.withColumn("words", F.filter("tokens", lambda t: t != "#"))
+    rows = rows.withColumn("has_name", F.exists("words", lambda t: (F.length(t) > 3) & F.array_contains("names", t)))
+    words, has_name = F.col("words"), F.col("has_name")
+    masked = F.array_join(F.when(has_name, F.transform(words, lambda t: F.when(F.array_contains("names", t), "*").otherwise(t))).otherwise(words), " ")
     rows = rows.withColumn("pattern", F.regexp_replace(masked, r"\*(?: \*)+", "*")).withColumn("named", has_name & (F.size(words) >= 2)).withColumn("edge", F.col("beside") | own_number)
     candidates = rows.where("tokens is not null and size(tokens) > 0 and pattern != ''")
     by_doc = candidates.groupBy("pattern", "document_id").agg(F.count("*").alias("n"), F.sum(F.col("edge").cast("int")).alias("edges"), F.max("named").alias("named"))
