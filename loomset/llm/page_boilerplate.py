@@ -139,7 +139,7 @@ def _core(line: Column, site: Column) -> Column:
     """The line as its site would repeat it: masks instead of names, numbers and URLs."""
     text = F.regexp_replace(F.lower(line), r"(\]\([^)\s]*\))\s*(?=\[)", "$1 | ")
     text = F.regexp_replace(text, r"\[([^\]]*)\]\([^)\s]*\)", "$1")
-    text = F.regexp_replace(text, r"https?://\S+|[\w-]+(?:\.[\w-]+)+", "@")
+    text = F.regexp_replace(text, r"https?://\S+|(?<![\w-])[\w-]++(?:\.[\w-]++)++", "@")
     text = F.regexp_replace(text, r"^\s*(?:[-*+•]\s+|#+\s*|>\s*)+", "")
     text = F.regexp_replace(F.when(site != "", F.replace(text, site, F.lit("@"))).otherwise(text), r"[0-9]+", "#")
     return F.trim(F.regexp_replace(F.replace(text, F.lit("**"), F.lit("")), r"\s+", " "))

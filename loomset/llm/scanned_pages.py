@@ -124,7 +124,10 @@ def edge_lines(lines: DataFrame) -> DataFrame:
     words, has_name = F.col("words"), F.col("has_name")
     masked = F.array_join(F.when(has_name, F.transform(words, lambda t: F.when(F.array_contains("names", t), "*").otherwise(t))).otherwise(words), " ")
     rows = rows.withColumn("pattern", F.regexp_replace(masked, r"\*(?: \*)+", "*")).withColumn("named", has_name & (F.size(words) >= 2)).withColumn("edge", F.col("beside") | own_number)
-    candidates = rows.where("tokens is not null and size(tokens) > 0 and pattern != ''")
+    rows = rows.withColumn("worded", F.coalesce(F.size("tokens") > 0, F.lit(False)))
+    # Read twice below: for what the corpus says of a pattern, and for the lines themselves.
+    rows = written(rows.select("document_id", "line_no", "line", "is_page", "worded", "pattern", "named", "edge"))
+    candidates = rows.where("worded and pattern != ''")
     by_doc = candidates.groupBy("pattern", "document_id").agg(F.count("*").alias("n"), F.sum(F.col("edge").cast("int")).alias("edges"), F.max("named").alias("named"))
     by_pattern = by_doc.groupBy("pattern").agg(F.count("*").alias("docs"), F.sum("n").alias("n"), F.sum("edges").alias("edges"))
     at_edge = by_pattern.where(F.col("edges") >= HEADER_EDGE * F.col("n"))
@@ -136,8 +139,8 @@ def edge_lines(lines: DataFrame) -> DataFrame:
     times = Window.partitionBy("document_id", "key")
     repeated = (F.count("*").over(times) >= 3) & (F.sum(F.col("edge").cast("int")).over(times) >= 0.8 * F.count("*").over(times))
     repeated |= (F.count("*").over(times) >= 2) & (F.sum(F.col("edge").cast("int")).over(times) == F.count("*").over(times)) & F.col("named")
-    running = F.coalesce(F.col("tokens").isNotNull() & (F.col("pattern") != "") & ((F.col("known") & F.col("named")) | repeated), F.lit(False))
-    kind = F.when(F.col("is_page"), "page_number").when(running & (F.size("tokens") > 0), "header").otherwise("text")
+    running = F.coalesce(F.col("worded") & (F.col("pattern") != "") & ((F.col("known") & F.col("named")) | repeated), F.lit(False))
+    kind = F.when(F.col("is_page"), "page_number").when(running, "header").otherwise("text")
     return rows.select("document_id", "line_no", "line", kind.alias("kind"))
 
 
