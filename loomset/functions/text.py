@@ -9,9 +9,13 @@ from pyspark.sql import functions as F
 SPACE = r"[\t\n\x0B\f\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
 
 
+#: The same characters one by one.
+SPACES = "\t\n\x0b\f\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+
+
 def strip(column: Column) -> Column:
     """Without white space of any kind at either end."""
-    return F.regexp_replace(column, rf"^{SPACE}+|{SPACE}+$", "")
+    return F.btrim(column, F.lit(SPACES))
 
 
 def filled(column: Column) -> Column:

@@ -106,6 +106,7 @@ def programmatic_fixes(rows: DataFrame, columns: list[str]) -> DataFrame:
     Trimmed and improved values are columns of their own first, so that no
     expression is evaluated twice for a row.
     """
+    # The sentences of the notes below, of the issue of `guarded` and of the issues of `preflight`.
     forms = {"grade_number": grade_list, "grade_level": grade_level, "topic": topic_list}
     work = rows.withColumns({f"trimmed {c}": strip(F.col(c)) for c in columns})
     work = work.withColumns({f"better {c}": forms[c](F.col(f"trimmed {c}")) for c in columns if c in forms})
